@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, simhash, warc
+from . import decontam, lm, mixing, pii, quality, simhash, warc
 from .common import load
 
 
@@ -18,6 +18,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(spark, load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(load(spark, sf_dir, "documents"))
+
+
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(load(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(load(spark, sf_dir, "documents"))
 
@@ -33,6 +41,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
+    "op6_pii": op6_pii,
+    "op7_lm": op7_lm,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
