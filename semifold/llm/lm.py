@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import fold, materialize, text_of
 
 FOLDS, TEST_FOLD = 7, 2
-VOCAB, DIM, NOISE, BATCH, RATE = 1024, 16, 64, 2048, 0.15
+VOCAB, DIM, NOISE, BATCH, RATE = 1024, 16, 32, 1024, 0.15
+#: A partition goes over its first tokens several times, until it has made this many token updates.
+EARLY, EARLY_PASSES = 2_000_000, 4
 COMMON = 2e-6
 END = b"\n"
 FLUSH = 400_000
@@ -99,7 +101,7 @@ class Lexicon:
             return np.fromiter(map(memo.__getitem__, toks), np.int64, len(toks))
 
     def words(self, slots: np.ndarray) -> np.ndarray:
-        return np.where(slots >= 0, self.word[slots], 0) if len(self.word) else np.zeros(len(slots), np.int64)
+        return np.where(slots >= 0, self.word[slots], np.int16(0)) if len(self.word) else np.zeros(len(slots), np.int16)
 
 
 @dataclass
@@ -131,32 +133,41 @@ class Params:
         return a, b, np.log(np.maximum(z, 1e-300)) + ma + mb.T
 
 
+def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """out[at] += rows, with repeats summed: sorted by row, then reduced in runs."""
+    order = np.argsort(at, kind="stable")
+    k = at[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    out[k[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad on minibatches."""
+    """Noise-contrastive estimation with AdaGrad on minibatches, in single precision."""
 
     def __init__(self, p: Params, prior: np.ndarray, seed: int):
-        self.p, self.prior, self.rng, self.n = p, prior, np.random.default_rng(seed), 0
-        self.log_noise = np.log(NOISE * prior)
+        self.p = Params(*(np.ascontiguousarray(x, np.float32) for x in (p.r, p.q, p.b, p.c)))
+        self.prior, self.rng, self.n = prior, np.random.default_rng(seed), 0
+        self.log_noise = np.log(NOISE * prior).astype(np.float32)
         self.cum = np.cumsum(prior)
-        self.g = [np.full_like(x, 0.05) for x in (p.r, p.q, p.b, p.c)]
+        self.g = [np.full_like(x, 0.05) for x in (self.p.r, self.p.q, self.p.b, self.p.c)]
 
     def step(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> None:
         p, n = self.p, len(w)
         noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE) * self.cum[-1]), len(self.prior) - 1)
-        r1, r2 = p.r[w1], p.r[w2]
+        r1, r2, qw, qn = p.r[w1], p.r[w2], p.q[w], p.q[noise]
         ctx = r1 * p.c[0] + r2 * p.c[1]
-        sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        dt = sig((ctx * p.q[w]).sum(1) + p.b[w] - self.log_noise[w]) - 1
-        dn = sig(ctx @ p.q[noise].T + p.b[noise] - self.log_noise[noise])
-        gctx = dt[:, None] * p.q[w] + dn @ p.q[noise]
+        sig = lambda x: 0.5 + 0.5 * np.tanh(0.5 * x)
+        dt = sig(np.einsum("ij,ij->i", ctx, qw) + p.b[w] - self.log_noise[w]) - 1
+        dn = sig(ctx @ qn.T + (p.b[noise] - self.log_noise[noise]))
+        gctx = dt[:, None] * qw + dn @ qn
         gq, gb, gr = np.zeros_like(p.q), np.zeros_like(p.b), np.zeros_like(p.r)
-        np.add.at(gq, w, dt[:, None] * ctx)
+        _scatter(gq, w, dt[:, None] * ctx)
         np.add.at(gq, noise, dn.T @ ctx)
-        np.add.at(gb, w, dt)
+        gb += np.bincount(w, dt, len(gb)).astype(np.float32)
         np.add.at(gb, noise, dn.sum(0))
-        np.add.at(gr, w1, gctx * p.c[0])
-        np.add.at(gr, w2, gctx * p.c[1])
-        gc = np.stack([(gctx * r1).sum(0), (gctx * r2).sum(0)])
+        _scatter(gr, w1, gctx * p.c[0])
+        _scatter(gr, w2, gctx * p.c[1])
+        gc = np.stack([np.einsum("ij,ij->j", gctx, r1), np.einsum("ij,ij->j", gctx, r2)])
         for x, grad, acc in zip((p.r, p.q, p.b, p.c), (gr, gq, gb, gc), self.g, strict=True):
             grad /= n
             acc += grad * grad * 1e4
@@ -166,7 +177,7 @@ class Trainer:
 
 def contexts(words: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The two words before each, with the end word before the text."""
-    before = np.concatenate(([end, end], words))
+    before = np.concatenate((np.array([end, end], words.dtype), words))
     return before[:-2], before[1:-1]
 
 
@@ -184,7 +195,7 @@ def train(texts: DataFrame, lexicon, prior: np.ndarray, end: int) -> Params:
                 w = lex.words(lex.slots(tokens(text)))
                 held.append((*contexts(w, end), w))
                 size += len(w)
-                if size >= 64 * BATCH:
+                if size >= 128 * BATCH:
                     _epoch(t, held)
                     held, size = [], 0
         if held:
@@ -209,10 +220,11 @@ def train(texts: DataFrame, lexicon, prior: np.ndarray, end: int) -> Params:
 
 def _epoch(t: Trainer, held: list[tuple]) -> None:
     w1, w2, w = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = t.rng.permutation(len(w))
-    for i in range(0, len(w), BATCH):
-        k = order[i : i + BATCH]
-        t.step(w1[k], w2[k], w[k])
+    for _ in range(EARLY_PASSES if t.n < EARLY else 1):
+        order = t.rng.permutation(len(w))
+        for i in range(0, len(w), BATCH):
+            k = order[i : i + BATCH]
+            t.step(w1[k], w2[k], w[k])
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -228,7 +240,7 @@ def score(docs: DataFrame) -> DataFrame:
     common = counts.filter(F.col("c") >= floor).toPandas().sort_values("h")
     h, c = common["h"].to_numpy(np.int64), common["c"].to_numpy(np.int64)
     top = np.lexsort((h, -c))[: VOCAB - 1]
-    word = np.zeros(len(h), np.int64)
+    word = np.zeros(len(h), np.int16)
     word[top] = np.arange(1, len(top) + 1)
     end = int(word[np.searchsorted(h, _hash(END))]) if len(h) and _hash(END) in h else 0
     size = len(top) + 1
