@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm, mixing, pii, quality, simhash, warc
+from . import decontam, imatch, licenses, lm, mixing, pii, quality, simhash, warc
 from .common import load
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(load(spark, sf_dir, "documents"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.digest(load(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -39,8 +47,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
+    "op5_fingerprints": op5_fingerprints,
     "op6_pii": op6_pii,
     "op7_lm": op7_lm,
     "op8_mixing": op8_mixing,
