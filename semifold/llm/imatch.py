@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialize, text_of
 
 LOW, HIGH, MIN_DF = 0.001, 0.1, 2
-FAMILIES, DEEPEST = 16, 40
+FAMILIES, DEEPEST = 12, 40
 #: Largest lexicon that is broadcast; documents of up to 2,000 distinct terms on average stay below it.
 BROADCAST_TERMS = 2_000_000
 QUANTILES, BUCKET_ROWS, BROADCAST_BUCKETS = 128, 4096, 100_000
@@ -58,21 +58,23 @@ def _depth(h: Column, family: int) -> Column:
     return g.bitwiseAND(-g)
 
 
-def _sparsest(arr: Column, family: int) -> tuple[Column, Column]:
-    """The depth of the family's sparsest subset that has any of the terms, and those terms."""
-    deepest = F.array_max(F.transform(arr, lambda h: _depth(h, family)))
-    return deepest, F.filter(arr, lambda h: _depth(h, family) == deepest)
+def _deepest(arr: Column, family: int) -> Column:
+    return F.array_max(F.transform(arr, lambda h: _depth(h, family)))
+
+
+def _at_depth(arr: Column, family: int, depth: Column) -> Column:
+    return F.filter(arr, lambda h: _depth(h, family) == depth)
 
 
 def signatures(arr: Column, whole: Column, df: DataFrame, name: str) -> DataFrame:
     """Adds ``name``: the hash of the whole term list, then one of each family's sparsest subset that is not empty."""
     short = lambda c: F.substring(F.lower(F.lpad(F.hex(c), 16, "0")), 1, 8)
     first = F.when(F.size(arr) > 0, short(F.xxhash64(arr))).when(whole.isNull(), F.lit("empty")).otherwise(F.concat(F.lit("~"), short(whole)))
-    parts = [first]
-    for f in range(FAMILIES):
-        deepest, some = _sparsest(arr, f)
-        parts.append(F.when(F.size(arr) > 0, short(F.xxhash64(deepest, some))).otherwise(""))
-    return df.withColumn(name, F.array(*parts))
+    # The depth is a column of its own: inside the filter it would be computed again for each term.
+    depth = {f: f"__{name}_{f}" for f in range(FAMILIES)}
+    df = df.withColumns({c: _deepest(arr, f) for f, c in depth.items()})
+    parts = [F.when(F.col(c).isNotNull(), short(F.xxhash64(F.col(c), _at_depth(arr, f, F.col(c))))).otherwise("") for f, c in depth.items()]
+    return df.withColumn(name, F.array(first, *parts)).drop(*depth.values())
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, imatch, licenses, lm, mixing, pii, quality, simhash, warc
+from . import decontam, imatch, licenses, lm, mixing, pii, quality, simhash, suffixes, warc
 from .common import load
 
 
@@ -18,6 +18,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.digest(load(spark, sf_dir, "documents"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(load(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
+    "op2_suffixes": op2_suffixes,
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
     "op5_fingerprints": op5_fingerprints,

@@ -28,7 +28,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_of
@@ -62,15 +62,16 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (bigint with the fingerprint's bits)."""
+    """doc_id, th (a hash of the text), fp (bigint with the fingerprint's bits)."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            fp = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, width) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    text = text_of(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id bigint, th bigint, fp bigint")
 
 
 def _signed(x: int) -> int:
@@ -102,11 +103,15 @@ def manhattan(a: Column, b: Column) -> Column:
     return out
 
 
-def links(fps: DataFrame, apart: int = BITS_APART, blocks: int = BLOCKS, crowded: int = CROWDED) -> DataFrame:
-    """fps: distinct fp.  Returns a, b: edges with the components that all links of at most ``apart`` bits have."""
+def links(fps: DataFrame, apart: int = BITS_APART, blocks: int = BLOCKS, crowded: int = CROWDED, by_bits: bool = False) -> DataFrame:
+    """fps: distinct fp.  Returns a, b: edges with the components that all links of at most ``apart`` bits have.
+
+    by_bits: cells are cut further by the kept blocks' bits, which a linked pair
+    also shares; for wide radii, whose cells keep few blocks.
+    """
     bits = _blocks(blocks)
     drops = list(itertools.combinations(range(blocks), apart))
-    v = segment_counts(F.col("fp"))
+    v = F.col("fp") if by_bits else segment_counts(F.col("fp"))
     cells = [F.struct(F.lit(i).cast("short").alias("t"), v.bitwiseAND(F.lit(_signed(_mask(x for j in range(blocks) if j not in d for x in bits[j])))).alias("cell")) for i, d in enumerate(drops)]
     grid = materialize(fps.select("fp", F.explode(F.array(*cells)).alias("c")).select("fp", "c.t", "c.cell"), "simhash-grid")
     sizes = grid.groupBy("t", "cell").agg(F.count("*").alias("n")).filter("n > 1")
@@ -148,18 +153,35 @@ def components(edges: DataFrame) -> DataFrame:
             return cur
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, apart: int = BITS_APART) -> DataFrame:
-    """doc_id, fp, component_id for each row."""
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, apart: int = BITS_APART, blocks: int = BLOCKS, by_bits: bool = False) -> DataFrame:
+    """doc_id, th, fp, component_id for each row."""
     rows = materialize(fingerprints(docs, width), "simhash-fp")
     reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    cc = components(links(reps.select("fp"), apart))
+    cc = components(links(reps.select("fp"), apart, blocks, by_bits=by_bits))
     roots = reps.join(cc, reps["fp"] == cc["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     ids = roots.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("component_id"))
     named = roots.join(ids, roots["root"] == ids["r"]).select(F.col("fp").alias("f"), "component_id")
-    return rows.join(named, rows["fp"] == named["f"]).select("doc_id", "fp", "component_id")
+    return rows.join(named, rows["fp"] == named["f"]).select("doc_id", "th", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return near_duplicates(docs).select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+#: The pipeline's stage: five-word shingles; at this distance they are about 0.8 alike or more.
+STAGE_SHINGLE, STAGE_APART, STAGE_BLOCKS = 5, 5, 8
+
+
+def keep_one(docs: DataFrame, width: int = STAGE_SHINGLE, apart: int = STAGE_APART, blocks: int = STAGE_BLOCKS) -> DataFrame:
+    """One row of each near-duplicate group, that of the smallest id (then text hash), all columns as they came."""
+    found = materialize(near_duplicates(docs, width, apart, blocks, by_bits=True), "simhash-groups")
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    # Groups are keyed by component and fingerprint family; a null component only has null ids.
+    kept = found.groupBy(F.coalesce("component_id", F.col("fp")).alias("c"), F.col("component_id").isNull().alias("n")).agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th")).distinct()
+    th = F.xxhash64(text_of(docs))
+    rows = docs.withColumn("__th", th)
+    hit = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("__th") == F.col("k_th")), "left_semi")
+    w = Window.partitionBy("doc_id", "__th").orderBy(F.lit(1))
+    return hit.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "__th")
