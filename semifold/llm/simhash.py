@@ -25,6 +25,7 @@ repeated rows each get a row; an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ from .common import materialize, text_of
 SHINGLE, BITS_APART, BLOCKS, SEED = 3, 2, 6, 42
 #: Above this many fingerprints, a cell is linked by stars.
 CROWDED = 512
+#: Most keys of a fingerprint in a star; a wider radius links crowded cells by spanning edges found in a task.
+STAR_KEYS = 1000
 #: Shingles hashed at once.
 STEP = 1 << 16
 
@@ -122,7 +125,12 @@ def links(fps: DataFrame, apart: int = BITS_APART, blocks: int = BLOCKS, crowded
     out = a.join(b, (F.col("t") == F.col("t2")) & (F.col("cell") == F.col("cell2")) & near).select("a", "b").distinct()
     hot = shared.filter(F.col("n") > crowded)
     stars = None
-    if not hot.limit(1).isEmpty():
+    if hot.limit(1).isEmpty():
+        pass
+    elif math.comb(max(len(bits[j]) for j in range(blocks)) * apart, apart) > STAR_KEYS:
+        rows = hot.select("t", "cell", "fp").repartition("t", "cell").sortWithinPartitions("t", "cell", "fp")
+        out = out.unionByName(rows.mapInArrow(_spanning(apart), "a bigint, b bigint")).distinct()
+    else:
         for i, d in enumerate(drops):
             free = [x for j in d for x in bits[j]]
             clear = F.transform(F.array(*[F.lit(_signed(~_mask(c) & (1 << 64) - 1)) for c in itertools.combinations(free, apart)]), lambda m: F.col("fp").bitwiseAND(m))
@@ -134,6 +142,42 @@ def links(fps: DataFrame, apart: int = BITS_APART, blocks: int = BLOCKS, crowded
     return materialize(out, "simhash-links")
 
 
+def _spanning(apart: int):
+    """In a task: cells' fingerprints, sorted by cell; out come edges that connect what the cell's links connect, at most one per fingerprint."""
+    import pyarrow as pa
+
+    def edges(fps: np.ndarray) -> Iterator:
+        rest = fps
+        while len(rest) > 1:
+            todo, rest = [rest[0]], rest[1:]
+            while todo and len(rest):
+                x = todo.pop()
+                near = np.bitwise_count(rest ^ x) <= apart
+                if near.any():
+                    got = rest[near]
+                    todo += got.tolist()
+                    lo, hi = np.minimum(got, x), np.maximum(got, x)
+                    yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["a", "b"])
+                    rest = rest[~near]
+
+    def run(batches: Iterator) -> Iterator:
+        cell, held = None, []
+        for b in batches:
+            t, c, fp = (x.to_numpy(zero_copy_only=False) for x in b.columns)
+            cut = np.flatnonzero((t[1:] != t[:-1]) | (c[1:] != c[:-1])) + 1
+            for i, j in zip(np.append(0, cut), np.append(cut, len(t)), strict=True):
+                if j > i:
+                    if held and (t[i], c[i]) != cell:
+                        yield from edges(np.concatenate(held))
+                        held = []
+                    cell = (t[i], c[i])
+                    held.append(fp[i:j])
+        if held:
+            yield from edges(np.concatenate(held))
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b.  Returns node, root: the smallest node that it reaches.
 
@@ -157,7 +201,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, apart: int = BITS_APA
     """doc_id, th, fp, component_id for each row."""
     rows = materialize(fingerprints(docs, width), "simhash-fp")
     reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    cc = components(links(reps.select("fp"), apart, blocks, by_bits=by_bits))
+    cc = components(links(reps.select("fp"), apart, blocks, STAGE_CROWDED if by_bits else CROWDED, by_bits))
     roots = reps.join(cc, reps["fp"] == cc["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     ids = roots.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("component_id"))
     named = roots.join(ids, roots["root"] == ids["r"]).select(F.col("fp").alias("f"), "component_id")
@@ -171,7 +215,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 #: The pipeline's stage: five-word shingles; at this distance they are about 0.8 alike or more.
-STAGE_SHINGLE, STAGE_APART, STAGE_BLOCKS = 5, 5, 8
+STAGE_SHINGLE, STAGE_APART, STAGE_BLOCKS, STAGE_CROWDED = 5, 5, 8, 64
 
 
 def keep_one(docs: DataFrame, width: int = STAGE_SHINGLE, apart: int = STAGE_APART, blocks: int = STAGE_BLOCKS) -> DataFrame:

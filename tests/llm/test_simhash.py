@@ -79,3 +79,46 @@ def test_long_chains_converge(spark):
     random.Random(1).shuffle(order)
     edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)], "a bigint, b bigint")
     assert {r["root"] for r in simhash.components(edges).collect()} == {0}
+
+
+def test_wide_radius_equals_brute_force_when_crowded(spark):
+    rnd = random.Random(8)
+    base = [rnd.getrandbits(64) for _ in range(5)]
+    fps = set(base)
+    for s in base:
+        for _ in range(60):
+            x = s
+            for _ in range(rnd.randint(1, 4)):
+                x ^= 1 << rnd.randrange(64)
+            fps.add(x)
+    fps = sorted(fps)
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, f in enumerate(fps):
+        for g in fps[:i]:
+            if (f ^ g).bit_count() <= 5:
+                root[find(f)] = find(g)
+    want = {}
+    for f in fps:
+        want.setdefault(find(f), set()).add(f)
+    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp bigint")
+    for crowded in (8, 10_000):
+        got = {}
+        for r in simhash.components(simhash.links(df, 5, 8, crowded, True)).collect():
+            got.setdefault(r["root"], set()).add(r["node"] & (1 << 64) - 1)
+        assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in want.values() if len(g) > 1}
+
+
+def test_one_of_each_group_stays(spark):
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(900)]
+    long = " ".join(words[:400])
+    rows = [(3, long), (1, long + " tail"), (9, long), (9, long), (2, " ".join(words[400:700])), (7, " ".join(words[600:900])), (None, long), (5, None)]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], SCHEMA)
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 2, 5, 7]
