@@ -50,3 +50,20 @@ def text_of(df: DataFrame, name: str = "text") -> Column:
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+#: Largest table that ``join_small`` broadcasts, and over how many tasks it spreads a key beyond that.
+BROADCAST_KEYS, SALTS = 100_000, 64
+
+
+def join_small(rows: DataFrame, table: DataFrame, on: Column, salt: Column) -> DataFrame:
+    """Inner join to a table of one row per key, a key of which may hold most rows.
+
+    The table's rows are counted: up to BROADCAST_KEYS it is broadcast; beyond
+    that it is repeated once per salt and rows are dealt by key and ``salt``.
+    """
+    if table.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(table), on)
+    spread = table.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__salt1", F.pmod(salt, F.lit(SALTS)).cast("int"))
+    return salted.join(spread, on & (F.col("__salt1") == F.col("__salt2"))).drop("__salt1", "__salt2")

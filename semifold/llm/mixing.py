@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_of
+from .common import WORD, join_small, materialize, text_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -122,18 +122,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(docs).alias("size"))
     groups = materialize(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("repeats")), "mix-rows")
     sizes = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("repeats")).alias("source_size"))
-    targets = source_targets(sizes, weights, share)
+    targets = materialize(source_targets(sizes, weights, share), "mix-targets")
     per = targets.select(F.col("source").alias("__s"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__f"))
-    wanted = groups.join(per, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    wanted = join_small(groups, per, F.col("source").eqNullSafe(F.col("__s")), F.xxhash64("doc_id", "size")).drop("__s")
     total = F.col("repeats") * (F.col("__f") - F.floor("__f"))
     wanted = wanted.withColumns({"__key": F.xxhash64("doc_id", "size", "source"), "__whole": (F.col("repeats") * F.floor("__f") + F.floor(total)).cast("long"), "__part": total - F.floor(total)})
     wanted = materialize(wanted, "mix-wanted")
     units = wanted.filter((F.col("size") > 0) & (F.col("__part") > 0)).select(F.xxhash64("source").alias("grp"), F.col("__key").alias("key"), F.col("size").cast("double").alias("size"), (F.col("__part") * F.col("size")).alias("mass"))
-    counts = units.groupBy("grp").agg(F.count("*").alias("n"))
+    counts = materialize(units.groupBy("grp").agg(F.count("*").alias("n")), "mix-counts")
     most = counts.agg(F.max("n")).first()[0] or 0
     if most:
         counts = counts.select(F.col("grp").alias("__g"), "n")
-        rounded = pivotal_round(units.join(counts, F.col("grp") == F.col("__g")).drop("__g"), most)
+        rounded = pivotal_round(join_small(units, counts, F.col("grp") == F.col("__g"), F.col("key")).drop("__g"), most)
         extra = rounded.groupBy("key").agg(F.max("taken").cast("long").alias("__extra"))
         wanted = wanted.join(extra.withColumnRenamed("key", "__k"), F.col("__key") == F.col("__k"), "left")
     else:
@@ -156,10 +156,13 @@ def taken(docs: DataFrame) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with size and copies: how often each row is to be read."""
-    cols = docs.columns
-    decided = per_row(mix(docs)).filter("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("mix_size"), "occurrence", F.col("copies").alias("mix_copies"))
+    """The documents that the mix takes, with mix_size and mix_copies: how often each row is to be read.
+
+    Columns of the documents that have these two names are replaced.
+    """
+    cols = [c for c in docs.columns if c not in ("mix_size", "mix_copies")]
+    decided = per_row(mix(docs)).filter("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("mix_size"), F.col("occurrence").alias("__o"), F.col("copies").alias("mix_copies"))
     w = Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64(*cols))
-    rows = docs.withColumn("__size", word_count(docs)).withColumn("__occ", F.row_number().over(w))
-    on = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("mix_size")) & (F.col("__occ") == F.col("occurrence"))
+    rows = docs.select(*cols).withColumn("__size", word_count(docs)).withColumn("__occ", F.row_number().over(w))
+    on = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("mix_size")) & (F.col("__occ") == F.col("__o"))
     return rows.join(decided, on).select(*cols, "mix_size", "mix_copies")

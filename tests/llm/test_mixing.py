@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from semifold.llm import mixing
+from semifold.llm import common, mixing
 from tests.oracle import SF
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -57,6 +57,16 @@ def test_several_levels_and_a_hot_source(spark):
     check(df.collect(), mixing.per_row(mixing.mix(df)).collect())
 
 
+def test_joins_beyond_the_broadcast_size(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i * 7919 % 50), "en", None if i % 9 == 0 else "hot" if i % 3 else f"s{i % 5}", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("mix_size", F.lit("clash")).withColumn("occurrence", F.lit("clash"))
+    want = sorted(map(tuple, mixing.taken(df).collect()))
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    assert sorted(map(tuple, mixing.taken(df).collect())) == want
+    kept = mixing.apply_mix(df)
+    assert kept.columns == [*df.drop("mix_size").columns, "mix_size", "mix_copies"] and kept.filter("occurrence != 'clash'").count() == 0
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, "a", None), (1, None, None, "a", None), (None, "x y z", "en", None, 5), (2, "one", "en", "b", 3), (2, "one", "en", "b", 3), (2, "one", "en", "b", 3), (3, " \t\n", "en", "é", 3), (4, "w " * 30000, "en", "a", 1)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("size", F.lit("clash"))
