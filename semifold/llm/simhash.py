@@ -25,7 +25,7 @@ repeated rows each get a row; an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
-import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,44 +37,59 @@ from .common import materialize, text_of
 SHINGLE, BITS_APART, BLOCKS, SEED = 3, 2, 6, 42
 #: Above this many fingerprints, a cell is linked by stars.
 CROWDED = 512
-#: Most keys of a fingerprint in a star; a wider radius links crowded cells by spanning edges found in a task.
-STAR_KEYS = 1000
 #: Shingles hashed at once.
 STEP = 1 << 16
 
 
-def fingerprint(text: str, width: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of one text."""
+def shingle_hashes(text: str, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of the text's word shingles, repeats included, some at a time; a shorter text is one shingle, no words give none."""
     from xxhash import xxh64_intdigest as h64
 
     words = text.encode("utf-8", "replace").lower().split()
     n = len(words)
     if n == 0:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))
     k = min(width, n)
     a, b = starts[: n - k + 1].tolist(), (ends[k - 1 :] - 1).tolist()
-    counts = np.zeros(64, np.int64)
     for i in range(0, len(a), STEP):
-        h = np.array([h64(joined[x:y], SEED) for x, y in zip(a[i : i + STEP], b[i : i + STEP], strict=True)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    bits = 2 * counts > len(a)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+        yield np.array([h64(joined[x:y], SEED) for x, y in zip(a[i : i + STEP], b[i : i + STEP], strict=True)], np.uint64)
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, th (a hash of the text), fp (bigint with the fingerprint's bits)."""
+def _lane(h: np.ndarray, lane: int) -> np.ndarray:
+    """Hashes of another family, from XXH64 by multiplication and shifts; family 0 is XXH64 itself."""
+    if lane == 0:
+        return h
+    h = h * np.uint64(0x9E3779B97F4A7C15 * (2 * lane + 1) & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprint(text: str, width: int = SHINGLE, lanes: int = 1) -> list[int]:
+    """The 64-bit fingerprints of one text, one for each hash family."""
+    counts, n = np.zeros((lanes, 64), np.int64), 0
+    for h in shingle_hashes(text, width):
+        n += len(h)
+        for i in range(lanes):
+            counts[i] += np.unpackbits(_lane(h, i).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
+
+
+def fingerprints(docs: DataFrame, width: int = SHINGLE, lanes: int = 1) -> DataFrame:
+    """doc_id, th (a hash of the text), fp (bigint with the fingerprint's bits), and l1, l2 ... of further hash families."""
     import pyarrow as pa
 
+    names = ["fp", *[f"l{i}" for i in range(1, lanes)]]
+
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            fp = np.array([fingerprint(t, width) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "th", "fp"])
+            fp = np.array([fingerprint(t, width, lanes) for t in b.column(2).to_pylist()], np.uint64).reshape(-1, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(fp[:, i])) for i in range(lanes)]], ["doc_id", "th", *names])
 
     text = text_of(docs)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id bigint, th bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id bigint, th bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def _signed(x: int) -> int:
@@ -106,15 +121,11 @@ def manhattan(a: Column, b: Column) -> Column:
     return out
 
 
-def links(fps: DataFrame, apart: int = BITS_APART, blocks: int = BLOCKS, crowded: int = CROWDED, by_bits: bool = False) -> DataFrame:
-    """fps: distinct fp.  Returns a, b: edges with the components that all links of at most ``apart`` bits have.
-
-    by_bits: cells are cut further by the kept blocks' bits, which a linked pair
-    also shares; for wide radii, whose cells keep few blocks.
-    """
+def links(fps: DataFrame, apart: int = BITS_APART, blocks: int = BLOCKS, crowded: int = CROWDED) -> DataFrame:
+    """fps: distinct fp.  Returns a, b: edges with the components that all links of at most ``apart`` bits have."""
     bits = _blocks(blocks)
     drops = list(itertools.combinations(range(blocks), apart))
-    v = F.col("fp") if by_bits else segment_counts(F.col("fp"))
+    v = segment_counts(F.col("fp"))
     cells = [F.struct(F.lit(i).cast("short").alias("t"), v.bitwiseAND(F.lit(_signed(_mask(x for j in range(blocks) if j not in d for x in bits[j])))).alias("cell")) for i, d in enumerate(drops)]
     grid = materialize(fps.select("fp", F.explode(F.array(*cells)).alias("c")).select("fp", "c.t", "c.cell"), "simhash-grid")
     sizes = grid.groupBy("t", "cell").agg(F.count("*").alias("n")).filter("n > 1")
@@ -124,60 +135,17 @@ def links(fps: DataFrame, apart: int = BITS_APART, blocks: int = BLOCKS, crowded
     near = (F.col("a") < F.col("b")) & (manhattan(F.col("a"), F.col("b")) <= apart) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= apart)
     out = a.join(b, (F.col("t") == F.col("t2")) & (F.col("cell") == F.col("cell2")) & near).select("a", "b").distinct()
     hot = shared.filter(F.col("n") > crowded)
-    stars = None
-    if hot.limit(1).isEmpty():
-        pass
-    elif math.comb(max(len(bits[j]) for j in range(blocks)) * apart, apart) > STAR_KEYS:
-        rows = hot.select("t", "cell", "fp").repartition("t", "cell").sortWithinPartitions("t", "cell", "fp")
-        out = out.unionByName(rows.mapInArrow(_spanning(apart), "a bigint, b bigint")).distinct()
-    else:
+    if not hot.limit(1).isEmpty():
         for i, d in enumerate(drops):
             free = [x for j in d for x in bits[j]]
             clear = F.transform(F.array(*[F.lit(_signed(~_mask(c) & (1 << 64) - 1)) for c in itertools.combinations(free, apart)]), lambda m: F.col("fp").bitwiseAND(m))
             keyed = hot.filter(F.col("t") == i).select("fp", F.posexplode(clear).alias("p", "key"))
             least = keyed.groupBy("p", "key").agg(F.min("fp").alias("a"), F.count("*").alias("m")).filter("m > 1").drop("m")
-            s = keyed.join(least, ["p", "key"]).filter("a < fp").select("a", F.col("fp").alias("b"))
-            stars = s if stars is None else stars.unionByName(s)
-        out = out.unionByName(stars).distinct()
+            out = out.unionByName(keyed.join(least, ["p", "key"]).filter("a < fp").select("a", F.col("fp").alias("b")))
+        out = out.distinct()
     return materialize(out, "simhash-links")
 
 
-def _spanning(apart: int):
-    """In a task: cells' fingerprints, sorted by cell; out come edges that connect what the cell's links connect, at most one per fingerprint."""
-    import pyarrow as pa
-
-    def edges(fps: np.ndarray) -> Iterator:
-        rest = fps
-        while len(rest) > 1:
-            todo, rest = [rest[0]], rest[1:]
-            while todo and len(rest):
-                x = todo.pop()
-                near = np.bitwise_count(rest ^ x) <= apart
-                if near.any():
-                    got = rest[near]
-                    todo += got.tolist()
-                    lo, hi = np.minimum(got, x), np.maximum(got, x)
-                    yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["a", "b"])
-                    rest = rest[~near]
-
-    def run(batches: Iterator) -> Iterator:
-        cell, held = None, []
-        for b in batches:
-            t, c, fp = (x.to_numpy(zero_copy_only=False) for x in b.columns)
-            cut = np.flatnonzero((t[1:] != t[:-1]) | (c[1:] != c[:-1])) + 1
-            for i, j in zip(np.append(0, cut), np.append(cut, len(t)), strict=True):
-                if j > i:
-                    if held and (t[i], c[i]) != cell:
-                        yield from edges(np.concatenate(held))
-                        held = []
-                    cell = (t[i], c[i])
-                    held.append(fp[i:j])
-        if held:
-            yield from edges(np.concatenate(held))
-
-    return run
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b.  Returns node, root: the smallest node that it reaches.
 
@@ -197,11 +165,11 @@ def components(edges: DataFrame) -> DataFrame:
             return cur
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, apart: int = BITS_APART, blocks: int = BLOCKS, by_bits: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, apart: int = BITS_APART, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, th, fp, component_id for each row."""
     rows = materialize(fingerprints(docs, width), "simhash-fp")
     reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    cc = components(links(reps.select("fp"), apart, blocks, STAGE_CROWDED if by_bits else CROWDED, by_bits))
+    cc = components(links(reps.select("fp"), apart, blocks))
     roots = reps.join(cc, reps["fp"] == cc["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     ids = roots.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("component_id"))
     named = roots.join(ids, roots["root"] == ids["r"]).select(F.col("fp").alias("f"), "component_id")
@@ -214,18 +182,131 @@ def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-#: The pipeline's stage: five-word shingles; at this distance they are about 0.8 alike or more.
-STAGE_SHINGLE, STAGE_APART, STAGE_BLOCKS, STAGE_CROWDED = 5, 5, 8, 64
+#: Similar texts: five-word shingles, Jaccard similarity of their sets.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: Hash families (64 bits each), cells of each text, and 8-bit segments that a cell keeps.
+LANES, CELLS, KEPT = 4, 160, 3
+#: Bits apart in the first family beyond which a pair of a cell is not looked at (pairs of SIMILARITY differ in 10 on average, deviation 3).
+WIDE_APART = 17
+
+
+def _tables() -> list[list[tuple[int, int]]]:
+    """For each cell: the (family, segment) pairs whose bits it keeps; fixed by a seed."""
+    draw, all_segments = random.Random(SEED), [(i, j) for i in range(LANES) for j in range(8)]
+    return [draw.sample(all_segments, KEPT) for _ in range(CELLS)]
+
+
+def wide_candidates(nodes: DataFrame) -> DataFrame:
+    """nodes: distinct fp, with l1 ...  Returns a, b (a < b): pairs to verify.
+
+    Texts whose kept segments have equal bits (so equal bit counts) meet in a
+    cell.  Of a cell come the edges of the minimum spanning forest under the
+    bits apart, so no more than its fingerprints.
+    """
+    import pyarrow as pa
+
+    tables = np.array([[8 * i + j for i, j in t] for t in _tables()])
 
+    def cells(batches: Iterator) -> Iterator:
+        for batch in batches:
+            lanes = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            for i in range(0, len(lanes), STEP // CELLS):
+                fps = np.ascontiguousarray(lanes[i : i + STEP // CELLS])
+                kept = fps.view(np.uint8)[:, tables].astype(np.int64)
+                cell = (np.arange(CELLS) << 8 * KEPT) + (kept << 8 * np.arange(KEPT)).sum(axis=2)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), pa.array(np.repeat(fps[:, 0], CELLS))], ["cell", "fp"])
 
-def keep_one(docs: DataFrame, width: int = STAGE_SHINGLE, apart: int = STAGE_APART, blocks: int = STAGE_BLOCKS) -> DataFrame:
+    def run(batches: Iterator) -> Iterator:
+        held = [np.empty(0, np.int64)] * 2
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, b.columns, strict=True)]
+            c, fp = held
+            # The last cell may go on in the next batch.
+            end = len(c) if b is None else int(np.searchsorted(c, c[-1])) if len(c) else 0
+            if end:
+                lo, hi = _forests(c[:end], fp[:end])
+                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
+            held = [c[end:], fp[end:]]
+
+    grid = nodes.select("fp", *[f"l{i}" for i in range(1, LANES)]).mapInArrow(cells, "cell bigint, fp bigint")
+    return grid.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _forests(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted cells, with distinct fingerprints in each: edges (smaller, larger) of the cells' minimum spanning forests."""
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    size = np.diff(np.append(first, len(cell)))
+    two = first[size == 2]
+    two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= WIDE_APART]
+    out = [np.column_stack((fp[two], fp[two + 1]))]
+    for i, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        out.append(_forest(fp[i : i + n]))
+    both = np.concatenate(out)
+    return both.min(axis=1), both.max(axis=1)
+
+
+def _forest(fp: np.ndarray) -> np.ndarray:
+    """Prim's algorithm: memory in proportion to the cell, time to its square."""
+    rest, edges = fp[1:], []
+    near, by = np.bitwise_count(rest ^ fp[0]), np.full(len(rest), fp[0])
+    while len(rest):
+        k = int(near.argmin())
+        x = rest[k]
+        if near[k] <= WIDE_APART:
+            edges.append((x, by[k]))
+        rest[k], near[k], by[k] = rest[-1], near[-1], by[-1]
+        rest, near, by = rest[:-1], near[:-1], by[:-1]
+        d = np.bitwise_count(rest ^ x)
+        closer = d < near
+        near[closer], by[closer] = d[closer], x
+    return np.array(edges, np.int64).reshape(-1, 2)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """pairs: a, b, hashes of texts.  Those whose shingle sets are similar enough; two empty sets are."""
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = [np.unique(h) for h in shingle_hashes(text, width)]
+                s = np.unique(np.concatenate(found)).view(np.int64) if found else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([th], pa.int64()), pa.array([s], pa.list_(pa.int64()))], ["th", "s"])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+    texts = docs.select(F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text")).join(ends, "th", "left_semi")
+    sets = materialize(texts.mapInArrow(run, "th bigint, s array<bigint>").dropDuplicates(["th"]), "simhash-sets")
+    x, y = sets.select(F.col("th").alias("a"), F.col("s").alias("sa")), sets.select(F.col("th").alias("b"), F.col("s").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(x, "a").join(y, "b").filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, th, root for each row: root is one for texts joined by chains of similar pairs.
+
+    Candidates come from SimHash cells; each is verified on the shingle sets of
+    whole texts.  Cells find a pair of similarity 0.8 with a chance of about
+    0.95, of 0.85 with 0.997 and more above.  Copies are one node, so a group
+    of copies is never paired; texts with one fingerprint hang on one of them.
+    """
+    rows = materialize(fingerprints(docs, width, LANES), "simhash-fp")
+    lanes = [f"l{i}" for i in range(1, LANES)]
+    reps = materialize(rows.groupBy("fp").agg(F.min(F.struct("th", *lanes)).alias("r")).select("fp", "r.*"), "simhash-reps")
+    found = materialize(wide_candidates(reps.drop("th")), "simhash-candidates")
+    a, b = reps.select(F.col("fp").alias("a"), F.col("th").alias("ta")), reps.select(F.col("fp").alias("b"), F.col("th").alias("tb"))
+    far = found.join(a, "a").join(b, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+    same = rows.select("fp", F.col("th").alias("b")).distinct().join(reps.select("fp", F.col("th").alias("a")), "fp").filter("a != b").select("a", "b")
+    edges = verified(docs, materialize(far.unionByName(same), "simhash-pairs"), width, similarity)
+    cc = components(edges)
+    return rows.join(cc, rows["th"] == cc["node"], "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
+
+
+def keep_one(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each near-duplicate group, that of the smallest id (then text hash), all columns as they came."""
-    found = materialize(near_duplicates(docs, width, apart, blocks, by_bits=True), "simhash-groups")
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
-    # Groups are keyed by component and fingerprint family; a null component only has null ids.
-    kept = found.groupBy(F.coalesce("component_id", F.col("fp")).alias("c"), F.col("component_id").isNull().alias("n")).agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th")).distinct()
-    th = F.xxhash64(text_of(docs))
-    rows = docs.withColumn("__th", th)
+    kept = similar_groups(docs, width, similarity).groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th"))
+    rows = docs.withColumn("__th", F.xxhash64(text_of(docs)))
     hit = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("__th") == F.col("k_th")), "left_semi")
     w = Window.partitionBy("doc_id", "__th").orderBy(F.lit(1))
     return hit.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "__th")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 
 from semifold.llm import simhash
@@ -81,37 +82,68 @@ def test_long_chains_converge(spark):
     assert {r["root"] for r in simhash.components(edges).collect()} == {0}
 
 
-def test_wide_radius_equals_brute_force_when_crowded(spark):
-    rnd = random.Random(8)
-    base = [rnd.getrandbits(64) for _ in range(5)]
-    fps = set(base)
-    for s in base:
-        for _ in range(60):
-            x = s
-            for _ in range(rnd.randint(1, 4)):
-                x ^= 1 << rnd.randrange(64)
-            fps.add(x)
-    fps = sorted(fps)
-    root = {f: f for f in fps}
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(x, y):
+    return x == y or len(x & y) >= 0.8 * len(x | y)
+
+
+def test_similar_groups_against_all_pairs(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = sorted({r["text"] or "" for r in df.collect()})
+    sets = [shingles(t) for t in texts]
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s or {b""}:
+            holders.setdefault(x, []).append(i)
+    shared = {(i, j) for h in holders.values() for j in h for i in h if i < j}
+    pairs = {(i, j) for i, j in shared if similar(sets[i], sets[j])}
+    root = {r["text"] or "": r["root"] for r in simhash.similar_groups(df).join(df.select("doc_id", "text"), "doc_id").collect()}
+    found = sum(root[texts[i]] == root[texts[j]] for i, j in pairs)
+    assert len(root) == len(texts) and pairs and found >= 0.95 * len(pairs)
+    # Nothing joins that a chain of similar pairs does not.
+    near = {i: {i} for i in range(len(texts))}
+    for i, j in pairs:
+        both = near[i] | near[j]
+        near.update(dict.fromkeys(both, both))
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(root[t], []).append(i)
+    assert all(set(g) <= near[g[0]] for g in groups.values())
+
+
+def test_a_large_group_of_near_copies_keeps_one(spark):
+    rnd = random.Random(3)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for d in range(1200):
+        words = list(base)
+        for _ in range(rnd.randrange(1, 5)):
+            words[rnd.randrange(400)] = f"x{d}"
+        rows.append((d, " ".join(words), "en", "s", 1))
+    assert [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()] == [0]
+
+
+def test_forest_links_what_short_edges_link():
+    rnd = np.random.default_rng(4)
+    seeds = rnd.integers(0, 2**63, 6)
+    fps = np.unique(np.concatenate([seeds, *[seeds ^ (np.int64(1) << rnd.integers(0, 63, 6)) ^ (np.int64(1) << rnd.integers(0, 63, 6)) for _ in range(8)]]))
+    edges = simhash._forest(fps.copy())
+    root = {int(f): int(f) for f in fps}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i, f in enumerate(fps):
-        for g in fps[:i]:
-            if (f ^ g).bit_count() <= 5:
-                root[find(f)] = find(g)
-    want = {}
-    for f in fps:
-        want.setdefault(find(f), set()).add(f)
-    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp bigint")
-    for crowded in (8, 10_000):
-        got = {}
-        for r in simhash.components(simhash.links(df, 5, 8, crowded, True)).collect():
-            got.setdefault(r["root"], set()).add(r["node"] & (1 << 64) - 1)
-        assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in want.values() if len(g) > 1}
+    for a, b in edges.tolist():
+        assert find(a) != find(b) and (a ^ b).bit_count() <= simhash.WIDE_APART
+        root[find(a)] = find(b)
+    assert all(find(int(a)) == find(int(b)) for a in fps for b in fps if np.bitwise_count(a ^ b) <= simhash.WIDE_APART)
+    assert simhash._forests(np.array([1, 1, 2, 3, 3, 3]), np.array([0, 1, 5, 0, 1, -1]))[0].tolist() == [0, 0]
 
 
 def test_one_of_each_group_stays(spark):
@@ -122,3 +154,10 @@ def test_one_of_each_group_stays(spark):
     df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], SCHEMA)
     got = simhash.keep_one(df)
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 2, 5, 7]
+
+
+def test_odd_tables(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, " "), (4, "a b"), (4, "a b"), (5, "A B"), (6, "a c")], "doc_id bigint, text string").selectExpr("*", "1 as th", "2 as root", "3 as fp")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 4, 6]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
