@@ -67,17 +67,24 @@ def _lane(h: np.ndarray, lane: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def fingerprint(text: str, width: int = SHINGLE, lanes: int = 1) -> list[int]:
-    """The 64-bit fingerprints of one text, one for each hash family."""
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """The distinct hashes, in order."""
+    found = [np.unique(h) for h in shingle_hashes(text, width)]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+def fingerprint(text: str, width: int = SHINGLE, lanes: int = 1, distinct: bool = False) -> list[int]:
+    """The 64-bit fingerprints of one text, one for each hash family; distinct: of the set of its shingles, without repeats."""
     counts, n = np.zeros((lanes, 64), np.int64), 0
-    for h in shingle_hashes(text, width):
+    whole = shingle_set(text, width) if distinct else None
+    for h in shingle_hashes(text, width) if whole is None else (whole[i : i + STEP] for i in range(0, len(whole), STEP)):
         n += len(h)
         for i in range(lanes):
             counts[i] += np.unpackbits(_lane(h, i).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE, lanes: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = SHINGLE, lanes: int = 1, distinct: bool = False) -> DataFrame:
     """doc_id, th (a hash of the text), fp (bigint with the fingerprint's bits), and l1, l2 ... of further hash families."""
     import pyarrow as pa
 
@@ -85,7 +92,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, lanes: int = 1) -> DataF
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            fp = np.array([fingerprint(t, width, lanes) for t in b.column(2).to_pylist()], np.uint64).reshape(-1, lanes).view(np.int64)
+            fp = np.array([fingerprint(t, width, lanes, distinct) for t in b.column(2).to_pylist()], np.uint64).reshape(-1, lanes).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(fp[:, i])) for i in range(lanes)]], ["doc_id", "th", *names])
 
     text = text_of(docs)
@@ -185,7 +192,7 @@ def digest(docs: DataFrame) -> DataFrame:
 #: Similar texts: five-word shingles, Jaccard similarity of their sets.
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
 #: Hash families (64 bits each), cells of each text, and 8-bit segments that a cell keeps.
-LANES, CELLS, KEPT = 4, 160, 3
+LANES, CELLS, KEPT = 8, 160, 3
 #: Bits apart in the first family beyond which a pair of a cell is not looked at (pairs of SIMILARITY differ in 10 on average, deviation 3).
 WIDE_APART = 17
 
@@ -233,12 +240,17 @@ def wide_candidates(nodes: DataFrame) -> DataFrame:
     return grid.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    """One-bits of each; of a signed number numpy would count those of its magnitude."""
+    return np.bitwise_count(x.view(np.uint64))
+
+
 def _forests(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted cells, with distinct fingerprints in each: edges (smaller, larger) of the cells' minimum spanning forests."""
     first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
     size = np.diff(np.append(first, len(cell)))
     two = first[size == 2]
-    two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= WIDE_APART]
+    two = two[_bits(fp[two] ^ fp[two + 1]) <= WIDE_APART]
     out = [np.column_stack((fp[two], fp[two + 1]))]
     for i, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
         out.append(_forest(fp[i : i + n]))
@@ -249,7 +261,7 @@ def _forests(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _forest(fp: np.ndarray) -> np.ndarray:
     """Prim's algorithm: memory in proportion to the cell, time to its square."""
     rest, edges = fp[1:], []
-    near, by = np.bitwise_count(rest ^ fp[0]), np.full(len(rest), fp[0])
+    near, by = _bits(rest ^ fp[0]), np.full(len(rest), fp[0])
     while len(rest):
         k = int(near.argmin())
         x = rest[k]
@@ -257,7 +269,7 @@ def _forest(fp: np.ndarray) -> np.ndarray:
             edges.append((x, by[k]))
         rest[k], near[k], by[k] = rest[-1], near[-1], by[-1]
         rest, near, by = rest[:-1], near[:-1], by[:-1]
-        d = np.bitwise_count(rest ^ x)
+        d = _bits(rest ^ x)
         closer = d < near
         near[closer], by[closer] = d[closer], x
     return np.array(edges, np.int64).reshape(-1, 2)
@@ -270,9 +282,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             for th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = [np.unique(h) for h in shingle_hashes(text, width)]
-                s = np.unique(np.concatenate(found)).view(np.int64) if found else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([th], pa.int64()), pa.array([s], pa.list_(pa.int64()))], ["th", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([th], pa.int64()), pa.array([shingle_set(text, width).view(np.int64)], pa.list_(pa.int64()))], ["th", "s"])
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
     texts = docs.select(F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text")).join(ends, "th", "left_semi")
@@ -286,11 +296,11 @@ def similar_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float
     """doc_id, th, root for each row: root is one for texts joined by chains of similar pairs.
 
     Candidates come from SimHash cells; each is verified on the shingle sets of
-    whole texts.  Cells find a pair of similarity 0.8 with a chance of about
-    0.95, of 0.85 with 0.997 and more above.  Copies are one node, so a group
+    whole texts.  The cells are drawn at random, so a pair near 0.8 can be
+    missed (the README has measured recall).  Copies are one node, so a group
     of copies is never paired; texts with one fingerprint hang on one of them.
     """
-    rows = materialize(fingerprints(docs, width, LANES), "simhash-fp")
+    rows = materialize(fingerprints(docs, width, LANES, True), "simhash-fp")
     lanes = [f"l{i}" for i in range(1, LANES)]
     reps = materialize(rows.groupBy("fp").agg(F.min(F.struct("th", *lanes)).alias("r")).select("fp", "r.*"), "simhash-reps")
     found = materialize(wide_candidates(reps.drop("th")), "simhash-candidates")

@@ -129,8 +129,8 @@ def test_a_large_group_of_near_copies_keeps_one(spark):
 
 def test_forest_links_what_short_edges_link():
     rnd = np.random.default_rng(4)
-    seeds = rnd.integers(0, 2**63, 6)
-    fps = np.unique(np.concatenate([seeds, *[seeds ^ (np.int64(1) << rnd.integers(0, 63, 6)) ^ (np.int64(1) << rnd.integers(0, 63, 6)) for _ in range(8)]]))
+    seeds = rnd.integers(-(2**63), 2**63 - 1, 6)
+    fps = np.unique(np.concatenate([seeds, *[seeds ^ (np.int64(1) << rnd.integers(0, 64, 6)) ^ (np.int64(1) << rnd.integers(0, 64, 6)) for _ in range(8)]]))
     edges = simhash._forest(fps.copy())
     root = {int(f): int(f) for f in fps}
 
@@ -140,9 +140,9 @@ def test_forest_links_what_short_edges_link():
         return x
 
     for a, b in edges.tolist():
-        assert find(a) != find(b) and (a ^ b).bit_count() <= simhash.WIDE_APART
+        assert find(a) != find(b) and ((a ^ b) & (1 << 64) - 1).bit_count() <= simhash.WIDE_APART
         root[find(a)] = find(b)
-    assert all(find(int(a)) == find(int(b)) for a in fps for b in fps if np.bitwise_count(a ^ b) <= simhash.WIDE_APART)
+    assert all(find(int(a)) == find(int(b)) for a in fps for b in fps if (int(a ^ b) & (1 << 64) - 1).bit_count() <= simhash.WIDE_APART)
     assert simhash._forests(np.array([1, 1, 2, 3, 3, 3]), np.array([0, 1, 5, 0, 1, -1]))[0].tolist() == [0, 0]
 
 
