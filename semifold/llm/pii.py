@@ -5,7 +5,8 @@ CRF's nodes are those spans, with their labels observed, and looser candidates
 that no pattern took: digit runs and ``name at host`` strings.  Neighbours in
 the text are joined by chain potentials; nodes whose digits or names are equal
 or similar, however far apart, by skip potentials.  Loopy message passing gives
-every candidate a label; one that follows an observed twin becomes a span too.
+every candidate of every text a label; one whose label is a kind becomes a span
+too, by an observed twin or by its own features.
 Each twin is linked to the one before it, so edges grow with the nodes.
 
 Local and chain weights are fitted on pattern spans against left-over
@@ -187,10 +188,8 @@ def infer(ns: list[Node], w: Weights) -> list[int]:
 def all_spans(text: str, w: Weights) -> tuple[list, list]:
     """Base spans, and all spans."""
     base = base_spans(text)
-    if not base:  # nothing observed that a candidate could follow; alone, none is a span
-        return base, base
     ns = nodes(text, base)
-    if len(ns) == len(base):
+    if len(ns) == len(base):  # no candidates
         return base, base
     got = infer(ns, w)
     more = [(n.start, n.end, LABELS[y]) for n, y in zip(ns, got, strict=True) if n.label is None and y]

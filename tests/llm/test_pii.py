@@ -48,3 +48,13 @@ def test_odd_rows(spark):
     red = pii.redact(df, W)
     assert red.columns == df.columns and {r["text"] for r in red.collect()} >= {None, "", "[EMAIL]", "[IP]"}
     assert pii.digest(df.limit(0)).count() == 0
+
+
+def test_a_candidate_is_judged_with_or_without_pattern_spans():
+    w = fit_weights([[("4111111111111111", 3, False), ("4000-0000-0000-0002", 3, False)], [("a@b.co", 1, False)], [("1234567", 0, False), ("20240101", 0, False)]] * 5)
+    token = "4111.1111.1111.1111"
+    far = " word" * 60 + " jo@x.org"
+    for t in (f"no {token} here", f"no {token} here" + far):
+        assert [x[:2] for x in pii.all_spans(t, w)[1] if x[2] == "card"] == [(3, 3 + len(token))]
+    assert pii.redact_text(f"no {token} here", w) == "no [CARD] here"
+    assert pii.all_spans("in 20240101 none", w) == ([], [])
