@@ -292,13 +292,109 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -
     return pairs.join(x, "a").join(y, "b").filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+#: Characters of the texts that rarity is read off, and most shingles held as common.  Both bear on speed only.
+RARITY_CHARS, COMMON = 1 << 26, 500_000
+
+
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several texts of a sample, in order, and how many have them: what the prefixes put last."""
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
+        seen: set[int] = set()
+        for batch in batches:
+            for th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if th not in seen:
+                    seen.add(th)
+                    yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, width).view(np.int64))], ["h"])
+
+    texts = docs.select(F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text"))
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    some = texts.filter(F.pmod("th", F.lit(1 << 30)) < int(min(1.0, RARITY_CHARS / max(1, chars)) * (1 << 30)))
+    often = some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    got = often.orderBy(F.desc("n"), "h").limit(COMMON).collect()  # COMMON rows at most
+    h, n = np.array([r["h"] for r in got], np.int64).view(np.uint64), np.array([r["n"] for r in got], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of a set's shingles in the order (count as common, hash): so many that similar sets share one."""
+    h, n = common
+    if len(h):
+        i = np.minimum(np.searchsorted(h, shingles), len(h) - 1)
+        shingles = shingles[np.argsort(np.where(h[i] == shingles, n[i], 0), kind="stable")]
+    return shingles[: len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-6)) + 1]
+
+
+def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """token, th, n (shingles of the text), pos: prefix shingles that several texts have; empty sets share token 0."""
+    import pyarrow as pa
+
+    common = common_shingles(docs, width)
+    names = ["token", "th", "n", "pos"]
+
+    def emit(batches: Iterator) -> Iterator:
+        seen: set[int] = set()
+        for batch in batches:
+            for th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if th in seen:
+                    continue
+                seen.add(th)
+                s = shingle_set(text, width)
+                t = prefix(s, common, similarity).view(np.int64) if len(s) else np.zeros(1, np.int64)
+                k = len(t)
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(k, th, np.int64)), pa.array(np.full(k, len(s), np.int32)), pa.array(np.arange(k, dtype=np.int32))], names)
+
+    def shared(batches: Iterator) -> Iterator:
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)]
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, b.columns, strict=True)]
+            t = held[0]
+            # The last token may go on in the next batch.
+            end = len(t) if b is None else int(np.searchsorted(t, t[-1])) if len(t) else 0
+            if end:
+                cols = [c[:end] for c in held]
+                order = np.lexsort((cols[1], cols[0]))
+                cols = [c[order] for c in cols]
+                once = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
+                cols = [c[once] for c in cols]
+                same = np.concatenate(([False], cols[0][1:] == cols[0][:-1], [False]))
+                keep = same[1:] | same[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names)
+                held = [c[end:] for c in held]
+
+    schema = "token bigint, th bigint, n int, pos int"
+    texts = docs.select(F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text"))
+    return texts.mapInArrow(emit, schema).repartition("token").sortWithinPartitions("token").mapInArrow(shared, schema)
+
+
+def missing_pairs(docs: DataFrame, cc: DataFrame, width: int, similarity: float) -> DataFrame:
+    """cc: node, root.  Returns a, b: among them all similar pairs of texts with different roots.
+
+    Prefix filter: sets of the similarity share a shingle of their prefixes; at
+    the first that they share, sizes and positions leave room for the overlap.
+    """
+    shared = materialize(prefixes(docs, width, similarity), "simhash-prefixes")
+    rooted = materialize(shared.join(cc, shared["th"] == cc["node"], "left").select("token", "th", "n", "pos", F.coalesce("root", "th").alias("root")), "simhash-rooted")
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+    left = materialize(rooted.join(mixed, "token", "left_semi"), "simhash-mixed")
+    x, y = (left.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("th", "n", "pos", "root")]) for i in (1, 2))
+    room = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
+    fits = (room >= similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-6) & (F.least("n1", "n2") >= similarity * F.greatest("n1", "n2") - 1e-6)
+    other = (x["token"] == y["token"]) & (F.col("root1") < F.col("root2")) & fits
+    return x.join(y, other).select(F.col("th1").alias("a"), F.col("th2").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, th, root for each row: root is one for texts joined by chains of similar pairs.
 
-    Candidates come from SimHash cells; each is verified on the shingle sets of
-    whole texts.  The cells are drawn at random, so a pair near 0.8 can be
-    missed (the README has measured recall).  Copies are one node, so a group
-    of copies is never paired; texts with one fingerprint hang on one of them.
+    Candidates come from SimHash cells, each verified on the shingle sets of
+    whole texts.  The cells are drawn at random and find most links, at little
+    cost within large groups; then a prefix filter gives every similar pair that
+    still lies in two groups, verified likewise, so no link is lost.  Copies are
+    one node, so a group of copies is never paired.
     """
     rows = materialize(fingerprints(docs, width, LANES, True), "simhash-fp")
     lanes = [f"l{i}" for i in range(1, LANES)]
@@ -307,8 +403,12 @@ def similar_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float
     a, b = reps.select(F.col("fp").alias("a"), F.col("th").alias("ta")), reps.select(F.col("fp").alias("b"), F.col("th").alias("tb"))
     far = found.join(a, "a").join(b, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
     same = rows.select("fp", F.col("th").alias("b")).distinct().join(reps.select("fp", F.col("th").alias("a")), "fp").filter("a != b").select("a", "b")
-    edges = verified(docs, materialize(far.unionByName(same), "simhash-pairs"), width, similarity)
+    edges = materialize(verified(docs, materialize(far.unionByName(same), "simhash-pairs"), width, similarity), "simhash-edges")
     cc = components(edges)
+    missed = materialize(verified(docs, materialize(missing_pairs(docs, cc, width, similarity), "simhash-missing"), width, similarity), "simhash-missed")
+    if not missed.limit(1).isEmpty():
+        # The groups so far as stars: their edges need not be walked again.
+        cc = components(missed.unionByName(cc.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))))
     return rows.join(cc, rows["th"] == cc["node"], "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
 
 

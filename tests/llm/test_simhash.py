@@ -161,3 +161,24 @@ def test_odd_tables(spark):
     got = simhash.keep_one(docs)
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 4, 6]
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_no_link_is_lost(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(30)]
+    more = [" ".join(base[: 30 - i] + [f"x{j}" for j in range(i)]) for i in range(1, 10)]
+    docs = df.select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(more)], "doc_id bigint, text string"))
+    texts = sorted({r["text"] or "" for r in docs.collect()})
+    sets = [shingles(t) for t in texts]
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s or {b""}:
+            holders.setdefault(x, []).append(i)
+    pairs = {(i, j) for i, j in {(i, j) for h in holders.values() for j in h for i in h if i < j} if similar(sets[i], sets[j])}
+
+    # All of them where the cells find none, and few shingles are known as common.
+    monkeypatch.setattr(simhash, "wide_candidates", lambda nodes: nodes.sparkSession.createDataFrame([], "a bigint, b bigint"))
+    monkeypatch.setattr(simhash, "COMMON", 3)
+    root = {r["text"] or "": r["root"] for r in simhash.similar_groups(docs).join(docs, "doc_id").collect()}
+    assert pairs and [(i, j) for i, j in pairs if root[texts[i]] != root[texts[j]]] == []
