@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,19 +70,19 @@ def statistics(text: str) -> list[float]:
     return [float(x) for x in out]
 
 
-def features(docs: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns and ``stats``."""
+def features(docs: DataFrame, *keep: str, name: str = "stats") -> DataFrame:
+    """The kept columns and ``name``: the statistics."""
     import pyarrow as pa
 
-    cols = docs.select(*keep, text_of(docs).alias("__text"))
+    cols = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(docs).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1])
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
             stats = pa.array([statistics(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], stats], names=[*b.schema.names[:-1], "stats"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], stats], names=[*b.schema.names[:-1], name])
 
-    return cols.mapInArrow(run, f"{schema}, stats array<double>")
+    return cols.mapInArrow(run, f"{schema}, {name} array<double>")
 
 
 @dataclass(frozen=True)
@@ -122,8 +123,8 @@ def _normal_equations(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.nda
             z = model.expand(_stack(pdf["stats"]))
             acc[:, :d] += z.T @ z
             acc[:, d] += z.T @ pdf["label"].to_numpy(float)
-        pid = np.random.default_rng().integers(0, 1 << 30) if acc.any() else 0
-        yield pd.DataFrame({"i": np.arange(d), "part": pid, "v": list(acc)})
+        # The same in each attempt at a task, so a repeated one sends its rows to the same reducers.
+        yield pd.DataFrame({"i": np.arange(d), "part": TaskContext.get().partitionId(), "v": list(acc)})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": [pdf["i"].iloc[0]], "part": [pdf["part"].iloc[0]], "v": [np.sum(pdf["v"].to_numpy(), axis=0)]})
@@ -208,17 +209,14 @@ def digest(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier accepts, all columns as they came.
 
-    The model is fitted first, on the labelled rows alone; then one pass scores
-    and filters every document, so texts are not shuffled.
+    One pass computes the statistics of every document and writes them beside
+    its columns; model and filter read those, so texts are neither shuffled nor
+    counted twice.
     """
     lab = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("quality").cast("int").alias("label"))
     r = fold(F.col("doc_id"), FOLDS)
-    stats = materialize(features(docs, "doc_id"), "quality-stats")
-    training = stats.filter(r != TEST_FOLD).join(lab, F.col("doc_id") == F.col("l_id")).select("stats", "label", (r == CALIBRATION_FOLD).alias("calibrate"))
+    stats = materialize(features(docs, *docs.columns, name="__stats"), "quality-documents")
+    own = stats.select("doc_id", F.col("__stats").alias("stats")).filter(r != TEST_FOLD)
+    training = own.join(lab, F.col("doc_id") == F.col("l_id")).select("stats", "label", (r == CALIBRATION_FOLD).alias("calibrate"))
     model = fit(materialize(training, "quality-training"))
-
-    @F.pandas_udf("double")
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(t) for t in text]).reshape(len(text), STATS)))
-
-    return docs.filter(run(text_of(docs)) >= threshold)
+    return stats.filter(score_column(model)("__stats") >= threshold).drop("__stats")

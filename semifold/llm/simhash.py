@@ -153,23 +153,58 @@ def links(fps: DataFrame, apart: int = BITS_APART, blocks: int = BLOCKS, crowded
     return materialize(out, "simhash-links")
 
 
+#: Edges up to which the rest of a graph is joined up in one task.
+FEW_EDGES = 10_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b.  Returns node, root: the smallest node that it reaches.
 
-    Smallest labels spread over the edges and then jump to their own label's
-    label, so the number of rounds is logarithmic in a component's diameter.
+    Each round every node hooks to the neighbour (or itself) whose hash is least
+    in that round, two steps at once; edges are renamed to where their ends went
+    and those inside one node go.  A constant share of the nodes goes in each
+    round, whatever their order, until FEW_EDGES are left, which one task joins
+    up.  Names are composed from the smallest round back, so all rounds together
+    cost little more than the first.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")), "cc-edges")
-    cur = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "cc")
-    while True:
-        seen = both.join(cur, both["a"] == cur["node"]).groupBy(F.col("b").alias("n2")).agg(F.min("root").alias("m"))
-        spread = cur.join(seen, cur["node"] == seen["n2"], "left").select("node", F.least("root", "m").alias("r1"), F.col("root").alias("r0"))
-        up = cur.select(F.col("node").alias("n3"), F.col("root").alias("r3"))
-        nxt = materialize(spread.join(up, F.col("r1") == F.col("n3"), "left").select("node", F.least("r1", "r3").alias("root"), "r0"), "cc")
-        moved = nxt.filter("root != r0").limit(1).isEmpty()
-        cur = nxt.select("node", "root")
-        if moved:
-            return cur
+    cur = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "cc-edges")
+    steps: list[DataFrame] = []
+    while cur.limit(FEW_EDGES + 1).count() > FEW_EDGES:
+        rank = lambda c, i=len(steps): F.struct(F.xxhash64(F.lit(i), c).alias("r"), F.col(c).alias("c"))
+        both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = materialize(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["c"].alias("up")), "cc-hook")
+        step = materialize(hook.join(hook.select(F.col("node").alias("mid"), F.col("up").alias("top")), F.col("up") == F.col("mid")).select("node", F.col("top").alias("up")), "cc-step")
+        steps.append(step)
+        x, y = step.select(F.col("node").alias("a"), F.col("up").alias("ua")), step.select(F.col("node").alias("b"), F.col("up").alias("ub"))
+        cur = materialize(cur.join(x, "a").join(y, "b").filter("ua != ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "cc-edges")
+    total = materialize(cur.repartition(1).mapInArrow(_union, "node bigint, up bigint"), "cc-rest")
+    if not steps:
+        return total.select("node", F.col("up").alias("root"))
+    for step in steps[::-1]:
+        later = total.select(F.col("node").alias("mid"), F.col("up").alias("top"))
+        total = step.join(later, F.col("up") == F.col("mid"), "left").select("node", F.coalesce("top", "up").alias("up"))
+    total = materialize(total, "cc-total")
+    names = total.groupBy("up").agg(F.min("node").alias("root"))
+    return materialize(total.join(names, "up").select("node", "root"), "cc")
+
+
+def _union(batches: Iterator) -> Iterator:
+    """Edges of one task: each node with the smallest that it reaches."""
+    import pyarrow as pa
+
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(x) for x in list(up)], pa.int64())], ["node", "up"])
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, apart: int = BITS_APART, blocks: int = BLOCKS) -> DataFrame:
@@ -191,53 +226,56 @@ def digest(docs: DataFrame) -> DataFrame:
 
 #: Similar texts: five-word shingles, Jaccard similarity of their sets.
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
-#: Hash families (64 bits each), cells of each text, and 8-bit segments that a cell keeps.
-LANES, CELLS, KEPT = 8, 160, 3
-#: Bits apart in the first family beyond which a pair of a cell is not looked at (pairs of SIMILARITY differ in 10 on average, deviation 3).
-WIDE_APART = 17
+#: Hash families (64 bits each), grid cells of each text in each round, and 8-bit segments that a cell keeps.
+LANES, ROUNDS, KEPT = 4, (2, 6, 16), 3
+#: Fingerprints of a cell between which one spanning forest is taken.
+SPAN = 1024
 
 
-def _tables() -> list[list[tuple[int, int]]]:
-    """For each cell: the (family, segment) pairs whose bits it keeps; fixed by a seed."""
-    draw, all_segments = random.Random(SEED), [(i, j) for i in range(LANES) for j in range(8)]
-    return [draw.sample(all_segments, KEPT) for _ in range(CELLS)]
+def _tables() -> list[list[int]]:
+    """For each cell: the segments, of all families, whose bits it keeps; fixed by a seed."""
+    draw = random.Random(SEED)
+    return [draw.sample(range(8 * LANES), KEPT) for _ in range(sum(ROUNDS))]
 
 
-def wide_candidates(nodes: DataFrame) -> DataFrame:
-    """nodes: distinct fp, with l1 ...  Returns a, b (a < b): pairs to verify.
+def wide_candidates(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
+    """nodes: th, root, fp, l1 ...  Returns a, b (a < b): pairs to verify, of different roots.
 
     Texts whose kept segments have equal bits (so equal bit counts) meet in a
-    cell.  Of a cell come the edges of the minimum spanning forest under the
-    bits apart, so no more than its fingerprints.
+    cell.  Of each SPAN of a cell come the edges of the minimum spanning forest
+    between roots under the bits apart, so never more than its fingerprints.
     """
     import pyarrow as pa
 
-    tables = np.array([[8 * i + j for i, j in t] for t in _tables()])
+    kept = np.array(tables)
+    many = len(kept)
 
     def cells(batches: Iterator) -> Iterator:
         for batch in batches:
-            lanes = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            for i in range(0, len(lanes), STEP // CELLS):
-                fps = np.ascontiguousarray(lanes[i : i + STEP // CELLS])
-                kept = fps.view(np.uint8)[:, tables].astype(np.int64)
-                cell = (np.arange(CELLS) << 8 * KEPT) + (kept << 8 * np.arange(KEPT)).sum(axis=2)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), pa.array(np.repeat(fps[:, 0], CELLS))], ["cell", "fp"])
+            th, root, *lanes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            lanes = np.column_stack(lanes)
+            for i in range(0, len(lanes), STEP // many):
+                fps = np.ascontiguousarray(lanes[i : i + STEP // many])
+                bits = fps.view(np.uint8)[:, kept].astype(np.int64)
+                cell = (np.arange(many) << 8 * KEPT) + (bits << 8 * np.arange(KEPT)).sum(axis=2)
+                each = [np.repeat(x[i : i + STEP // many], many) for x in (lanes[:, 0], th, root)]
+                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), *map(pa.array, each)], ["cell", "fp", "th", "root"])
 
     def run(batches: Iterator) -> Iterator:
-        held = [np.empty(0, np.int64)] * 2
+        held = [np.empty(0, np.int64)] * 4
         for b in itertools.chain(batches, [None]):
             if b is not None:
                 held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, b.columns, strict=True)]
-            c, fp = held
-            # The last cell may go on in the next batch.
-            end = len(c) if b is None else int(np.searchsorted(c, c[-1])) if len(c) else 0
+            # Of a cell that goes on in the next batch, all but the last SPAN are done now.
+            n = len(held[0])
+            end = n if b is None else max(int(np.searchsorted(held[0], held[0][-1])), n - SPAN) if n else 0
             if end:
-                lo, hi = _forests(c[:end], fp[:end])
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
-            held = [c[end:], fp[end:]]
+                pairs = _forests(*(c[:end] for c in held))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+                held = [c[end:] for c in held]
 
-    grid = nodes.select("fp", *[f"l{i}" for i in range(1, LANES)]).mapInArrow(cells, "cell bigint, fp bigint")
-    return grid.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").distinct()
+    grid = nodes.select("th", "root", "fp", *[f"l{i}" for i in range(1, LANES)]).mapInArrow(cells, "cell bigint, fp bigint, th bigint, root bigint")
+    return grid.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -245,33 +283,39 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64))
 
 
-def _forests(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted cells, with distinct fingerprints in each: edges (smaller, larger) of the cells' minimum spanning forests."""
+def _forests(cell: np.ndarray, fp: np.ndarray, th: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Sorted cells: edges (th, th) of the spanning forests of their spans; neighbouring spans have one row in common."""
     first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
     size = np.diff(np.append(first, len(cell)))
     two = first[size == 2]
-    two = two[_bits(fp[two] ^ fp[two + 1]) <= WIDE_APART]
-    out = [np.column_stack((fp[two], fp[two + 1]))]
+    two = two[root[two] != root[two + 1]]
+    out = [np.column_stack((th[two], th[two + 1]))]
     for i, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        out.append(_forest(fp[i : i + n]))
-    both = np.concatenate(out)
-    return both.min(axis=1), both.max(axis=1)
-
-
-def _forest(fp: np.ndarray) -> np.ndarray:
-    """Prim's algorithm: memory in proportion to the cell, time to its square."""
-    rest, edges = fp[1:], []
-    near, by = _bits(rest ^ fp[0]), np.full(len(rest), fp[0])
-    while len(rest):
-        k = int(near.argmin())
-        x = rest[k]
-        if near[k] <= WIDE_APART:
-            edges.append((x, by[k]))
-        rest[k], near[k], by[k] = rest[-1], near[-1], by[-1]
-        rest, near, by = rest[:-1], near[:-1], by[:-1]
-        d = _bits(rest ^ x)
+        for j in range(i, i + n - 1, SPAN - 1):
+            k = slice(j, min(j + SPAN, i + n))
+            if (root[k] != root[j]).any():
+                out.append(_forest(fp[k], th[k], root[k]))
+    return np.concatenate(out)
+
+
+def _forest(fp: np.ndarray, th: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Prim's algorithm; rows of one root lie together from the start."""
+    fp, th, root, edges = fp.copy(), th.copy(), root.copy(), []
+    x, xt, xr, rest = fp[0], th[0], root[0], len(fp) - 1
+    fp, th, root = fp[1:], th[1:], root[1:]
+    near, by = np.full(rest, 127, np.int16), np.zeros(rest, np.int64)
+    while rest:
+        d = np.where(root == xr, -1, _bits(fp ^ x).astype(np.int16))
         closer = d < near
-        near[closer], by[closer] = d[closer], x
+        near[closer], by[closer] = d[closer], xt
+        k = int(near.argmin())
+        x, xt, xr = fp[k], th[k], root[k]
+        if near[k] >= 0:
+            edges.append((xt, by[k]))
+        rest -= 1
+        for c in (fp, th, root, near, by):
+            c[k] = c[rest]
+        fp, th, root, near, by = (c[:rest] for c in (fp, th, root, near, by))
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
@@ -370,53 +414,94 @@ def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     return texts.mapInArrow(emit, schema).repartition("token").sortWithinPartitions("token").mapInArrow(shared, schema)
 
 
-def missing_pairs(docs: DataFrame, cc: DataFrame, width: int, similarity: float) -> DataFrame:
-    """cc: node, root.  Returns a, b: among them all similar pairs of texts with different roots.
+#: Rounds in which each group of texts that shares a shingle sends one text to another group.
+STARS = 2
+
+
+def _mixed(shared: DataFrame, cc: DataFrame) -> DataFrame:
+    """token, th, n, pos, root of the shingles that texts of several roots share."""
+    rooted = materialize(shared.join(cc, shared["th"] == cc["node"]).select("token", "th", "n", "pos", "root"), "simhash-rooted")
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+    return materialize(rooted.join(mixed, "token", "left_semi"), "simhash-mixed")
+
+
+def _stars(mixed: DataFrame, turn: int) -> DataFrame:
+    """a, b: of each root that shares a shingle one text, with one of the largest root there; other texts each turn."""
+    pick = F.min_by("th", F.xxhash64(F.lit(turn), "th"))
+    some = mixed.groupBy("token", "root").agg(pick.alias("th"), F.count("*").alias("m"))
+    hub = some.groupBy("token").agg(F.max(F.struct("m", "root", "th")).alias("hub")).select("token", F.col("hub.root").alias("h_root"), F.col("hub.th").alias("h_th"))
+    return some.join(hub, "token").filter("root != h_root").select(F.least("th", "h_th").alias("a"), F.greatest("th", "h_th").alias("b")).distinct()
+
+
+def missing_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
+    """Returns a, b: among them all similar pairs of texts with different roots.
 
     Prefix filter: sets of the similarity share a shingle of their prefixes; at
     the first that they share, sizes and positions leave room for the overlap.
+    Texts of the root that is largest at a shingle are not matched with each
+    other, so a large group costs its product with what lies outside it.
     """
-    shared = materialize(prefixes(docs, width, similarity), "simhash-prefixes")
-    rooted = materialize(shared.join(cc, shared["th"] == cc["node"], "left").select("token", "th", "n", "pos", F.coalesce("root", "th").alias("root")), "simhash-rooted")
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    left = materialize(rooted.join(mixed, "token", "left_semi"), "simhash-mixed")
-    x, y = (left.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("th", "n", "pos", "root")]) for i in (1, 2))
+    sizes = mixed.groupBy("token", "root").agg(F.count("*").alias("m"))
+    big = sizes.groupBy("token").agg(F.max(F.struct("m", "root"))["root"].alias("big"))
+    rows = materialize(mixed.join(big, "token"), "simhash-sides")
+    x, y = (rows.select("token", "big", *[F.col(c).alias(f"{c}{i}") for c in ("th", "n", "pos", "root")]) for i in (1, 2))
+    x = x.filter("root1 != big").drop("big")
     room = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
     fits = (room >= similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-6) & (F.least("n1", "n2") >= similarity * F.greatest("n1", "n2") - 1e-6)
-    other = (x["token"] == y["token"]) & (F.col("root1") < F.col("root2")) & fits
-    return x.join(y, other).select(F.col("th1").alias("a"), F.col("th2").alias("b")).distinct()
+    once = ((F.col("root2") == F.col("big")) & (F.col("root1") != F.col("big"))) | ((F.col("root2") != F.col("big")) & (F.col("root1") < F.col("root2")))
+    return x.join(y, (x["token"] == y["token"]) & fits & once).select(F.least("th1", "th2").alias("a"), F.greatest("th1", "th2").alias("b")).distinct()
 
 
-def similar_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, th, root for each row: root is one for texts joined by chains of similar pairs.
+def text_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """node, root for each distinct text (by hash): root is one for those joined by chains of similar pairs.
 
-    Candidates come from SimHash cells, each verified on the shingle sets of
-    whole texts.  The cells are drawn at random and find most links, at little
-    cost within large groups; then a prefix filter gives every similar pair that
-    still lies in two groups, verified likewise, so no link is lost.  Copies are
-    one node, so a group of copies is never paired.
+    Candidates come from rounds of SimHash cells, each verified on the shingle
+    sets of whole texts; what is joined in one round is one group in the next,
+    so large groups yield few pairs.  The cells are drawn at random; then a
+    prefix filter gives every similar pair that still lies in two groups (first
+    by single pairs between groups, then all), verified likewise, so no link is
+    lost.  Copies are one node, so a group of copies is never paired.
     """
-    rows = materialize(fingerprints(docs, width, LANES, True), "simhash-fp")
-    lanes = [f"l{i}" for i in range(1, LANES)]
-    reps = materialize(rows.groupBy("fp").agg(F.min(F.struct("th", *lanes)).alias("r")).select("fp", "r.*"), "simhash-reps")
-    found = materialize(wide_candidates(reps.drop("th")), "simhash-candidates")
-    a, b = reps.select(F.col("fp").alias("a"), F.col("th").alias("ta")), reps.select(F.col("fp").alias("b"), F.col("th").alias("tb"))
-    far = found.join(a, "a").join(b, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
-    same = rows.select("fp", F.col("th").alias("b")).distinct().join(reps.select("fp", F.col("th").alias("a")), "fp").filter("a != b").select("a", "b")
-    edges = materialize(verified(docs, materialize(far.unionByName(same), "simhash-pairs"), width, similarity), "simhash-edges")
-    cc = components(edges)
-    missed = materialize(verified(docs, materialize(missing_pairs(docs, cc, width, similarity), "simhash-missing"), width, similarity), "simhash-missed")
-    if not missed.limit(1).isEmpty():
-        # The groups so far as stars: their edges need not be walked again.
-        cc = components(missed.unionByName(cc.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))))
-    return rows.join(cc, rows["th"] == cc["node"], "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
+    lanes = ["fp", *[f"l{i}" for i in range(1, LANES)]]
+    nodes = materialize(fingerprints(docs, width, LANES, True).groupBy("th").agg(*[F.first(c).alias(c) for c in lanes]), "simhash-fp")
+    cc = nodes.select(F.col("th").alias("node"), F.col("th").alias("root"))
+
+    def join_up(pairs: DataFrame, cc: DataFrame) -> DataFrame:
+        """cc after the groups of those pairs that pass verification are joined."""
+        found = verified(docs, materialize(pairs, "simhash-pairs"), width, similarity)
+        a, b = cc.select(F.col("node").alias("a"), F.col("root").alias("ra")), cc.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        joined = components(found.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        moved = joined.select(F.col("node").alias("was"), F.col("root").alias("now"))
+        return materialize(cc.join(moved, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root")), "simhash-roots")
+
+    done = 0
+    for many in ROUNDS:
+        cc = join_up(wide_candidates(nodes.join(cc, nodes["th"] == cc["node"]), _tables()[done : done + many]), cc)
+        done += many
+    mixed = materialize(prefixes(docs, width, similarity), "simhash-prefixes")
+    for turn in range(STARS):
+        mixed = _mixed(mixed.select("token", "th", "n", "pos"), cc)
+        cc = join_up(_stars(mixed, turn), cc)
+    return join_up(missing_pairs(_mixed(mixed.select("token", "th", "n", "pos"), cc), similarity), cc)
+
+
+def similar_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, th, root for each row."""
+    cc = text_groups(docs, width, similarity)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("th"))
+    return rows.join(cc, rows["th"] == cc["node"]).select("doc_id", "th", "root")
 
 
 def keep_one(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each near-duplicate group, that of the smallest id (then text hash), all columns as they came."""
-    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
-    kept = similar_groups(docs, width, similarity).groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th"))
+    cc = text_groups(docs, width, similarity)
+    cols = docs.columns
     rows = docs.withColumn("__th", F.xxhash64(text_of(docs)))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("__th").alias("th"))
+    # The least row of each text first, so copies meet in partial aggregates and not in one task.
+    least = rows.groupBy("__th").agg(F.min(key).alias("k"))
+    kept = least.join(cc, F.col("__th") == F.col("node")).groupBy(F.col("root").alias("r")).agg(F.min("k").alias("k"))
+    kept = materialize(kept.select(F.col("k.id").alias("k_id"), F.col("k.th").alias("k_th")), "simhash-kept")
     hit = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("__th") == F.col("k_th")), "left_semi")
     w = Window.partitionBy("doc_id", "__th").orderBy(F.lit(1))
-    return hit.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "__th")
+    return hit.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").select(*[F.col(f"`{c}`") for c in cols])

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from semifold.llm import simhash
@@ -56,7 +57,7 @@ def test_odd_rows(spark):
     assert simhash.digest(df.limit(0)).count() == 0
 
 
-def test_links_with_and_without_crowded_cells(spark):
+def test_links_with_and_without_crowded_cells(spark, monkeypatch):
     rnd = random.Random(5)
     seeds = [rnd.getrandbits(64) for _ in range(12)]
     fps = set(seeds)
@@ -67,14 +68,17 @@ def test_links_with_and_without_crowded_cells(spark):
     comp = brute_components(fps)
     want = {frozenset(f for f, c in zip(fps, comp, strict=True) if c == k) for k in set(comp) if comp.count(k) > 1}
     df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp bigint")
-    for crowded in (10_000, 3):
+    for crowded, few in ((10_000, 10_000), (3, 0)):
+        monkeypatch.setattr(simhash, "FEW_EDGES", few)
         groups = {}
         for r in simhash.components(simhash.links(df, crowded=crowded)).collect():
             groups.setdefault(r["root"], set()).add(r["node"] & (1 << 64) - 1)
         assert {frozenset(g) for g in groups.values()} == want
 
 
-def test_long_chains_converge(spark):
+@pytest.mark.parametrize("few", [40, 10_000])
+def test_long_chains_converge(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW_EDGES", few)
     n = 300
     order = list(range(n))
     random.Random(1).shuffle(order)
@@ -103,7 +107,7 @@ def test_similar_groups_against_all_pairs(spark):
     pairs = {(i, j) for i, j in shared if similar(sets[i], sets[j])}
     root = {r["text"] or "": r["root"] for r in simhash.similar_groups(df).join(df.select("doc_id", "text"), "doc_id").collect()}
     found = sum(root[texts[i]] == root[texts[j]] for i, j in pairs)
-    assert len(root) == len(texts) and pairs and found >= 0.95 * len(pairs)
+    assert len(root) == len(texts) and pairs and found == len(pairs)
     # Nothing joins that a chain of similar pairs does not.
     near = {i: {i} for i in range(len(texts))}
     for i, j in pairs:
@@ -127,23 +131,31 @@ def test_a_large_group_of_near_copies_keeps_one(spark):
     assert [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()] == [0]
 
 
-def test_forest_links_what_short_edges_link():
+def test_forest_is_a_least_spanning_forest_between_roots():
     rnd = np.random.default_rng(4)
-    seeds = rnd.integers(-(2**63), 2**63 - 1, 6)
-    fps = np.unique(np.concatenate([seeds, *[seeds ^ (np.int64(1) << rnd.integers(0, 64, 6)) ^ (np.int64(1) << rnd.integers(0, 64, 6)) for _ in range(8)]]))
-    edges = simhash._forest(fps.copy())
-    root = {int(f): int(f) for f in fps}
+    fps = np.unique(rnd.integers(-(2**63), 2**63 - 1, 40))
+    th, root = np.arange(len(fps)) + 100, np.where(np.arange(len(fps)) < 10, 7, np.arange(len(fps)))
+
+    up = {int(r): int(r) for r in root}
 
     def find(x):
-        while root[x] != x:
-            x = root[x]
+        while up[x] != x:
+            x = up[x]
         return x
 
-    for a, b in edges.tolist():
-        assert find(a) != find(b) and ((a ^ b) & (1 << 64) - 1).bit_count() <= simhash.WIDE_APART
-        root[find(a)] = find(b)
-    assert all(find(int(a)) == find(int(b)) for a in fps for b in fps if (int(a ^ b) & (1 << 64) - 1).bit_count() <= simhash.WIDE_APART)
-    assert simhash._forests(np.array([1, 1, 2, 3, 3, 3]), np.array([0, 1, 5, 0, 1, -1]))[0].tolist() == [0, 0]
+    least = 0
+    for d, i, j in sorted((int(simhash._bits(fps[i : i + 1] ^ fps[j : j + 1])[0]), i, j) for i in range(len(fps)) for j in range(i)):
+        if find(int(root[i])) != find(int(root[j])):
+            up[find(int(root[i]))] = find(int(root[j]))
+            least += d
+    edges = simhash._forest(fps, th, root) - 100
+    assert len(edges) == len(set(root.tolist())) - 1 and all(root[i] != root[j] for i, j in edges.tolist())
+    assert sum(int(simhash._bits(fps[i : i + 1] ^ fps[j : j + 1])[0]) for i, j in edges.tolist()) == least
+    # Cells are apart, and long ones are spanned in overlapping pieces.
+    cell, n = np.array([1, 1, 2, 3, 3, 3]), np.arange(6)
+    assert sorted(map(sorted, simhash._forests(cell, n, n, n).tolist())) == [[0, 1], [3, 5], [4, 5]]
+    many = np.arange(3 * simhash.SPAN)
+    assert len(simhash._forests(many * 0, many, many, many)) == len(many) - 1
 
 
 def test_one_of_each_group_stays(spark):
@@ -178,7 +190,7 @@ def test_no_link_is_lost(spark, monkeypatch):
     pairs = {(i, j) for i, j in {(i, j) for h in holders.values() for j in h for i in h if i < j} if similar(sets[i], sets[j])}
 
     # All of them where the cells find none, and few shingles are known as common.
-    monkeypatch.setattr(simhash, "wide_candidates", lambda nodes: nodes.sparkSession.createDataFrame([], "a bigint, b bigint"))
+    monkeypatch.setattr(simhash, "wide_candidates", lambda nodes, tables: nodes.sparkSession.createDataFrame([], "a bigint, b bigint"))
     monkeypatch.setattr(simhash, "COMMON", 3)
     root = {r["text"] or "": r["root"] for r in simhash.similar_groups(docs).join(docs, "doc_id").collect()}
     assert pairs and [(i, j) for i, j in pairs if root[texts[i]] != root[texts[j]]] == []
