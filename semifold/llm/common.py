@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = os.environ.setdefault("SEMIFOLD_SCRATCH", tempfile.mkdtemp(prefix="semifold-"))
+        path = os.environ.get("SEMIFOLD_SCRATCH") or os.environ.setdefault("SEMIFOLD_SCRATCH", tempfile.mkdtemp(prefix="semifold-"))
     return path.rstrip("/")
 
 

@@ -158,11 +158,16 @@ def taken(docs: DataFrame) -> DataFrame:
 def apply_mix(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, with mix_size and mix_copies: how often each row is to be read.
 
-    Columns of the documents that have these two names are replaced.
+    Columns of the documents that have these two names are replaced.  Texts are
+    shuffled once, by one key that joins the decisions and numbers the repeats.
     """
     cols = [c for c in docs.columns if c not in ("mix_size", "mix_copies")]
-    decided = per_row(mix(docs)).filter("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("mix_size"), F.col("occurrence").alias("__o"), F.col("copies").alias("mix_copies"))
-    w = Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64(*cols))
-    rows = docs.select(*cols).withColumn("__size", word_count(docs)).withColumn("__occ", F.row_number().over(w))
-    on = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("mix_size")) & (F.col("__occ") == F.col("__o"))
-    return rows.join(decided, on).select(*cols, "mix_size", "mix_copies")
+    decided = mix(docs).filter("copies > 0").select(F.xxhash64("doc_id", "size", "source").alias("__key"), F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("mix_size"), F.col("repeats").alias("__repeats"), F.col("copies").alias("__copies"))
+    source = F.col("source").cast("string")
+    rows = docs.select(*[F.col(f"`{c}`") for c in cols]).withColumn("__size", word_count(docs))
+    rows = rows.withColumn("__key", F.xxhash64("doc_id", "__size", source))
+    on = F.col("doc_id").eqNullSafe(F.col("__d")) & source.eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("mix_size"))
+    hit = rows.join(decided, "__key").filter(on)
+    w = Window.partitionBy("__key", "doc_id", "source", "mix_size").orderBy(F.xxhash64(*cols))
+    each = F.floor(F.col("__copies") / F.col("__repeats")) + (F.row_number().over(w) <= F.col("__copies") % F.col("__repeats")).cast("long")
+    return hit.withColumn("mix_copies", each.cast("long")).filter("mix_copies > 0").select(*[F.col(f"`{c}`") for c in cols], "mix_size", "mix_copies")
