@@ -319,6 +319,10 @@ def _forest(fp: np.ndarray, th: np.ndarray, root: np.ndarray) -> np.ndarray:
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
+#: Up to this many texts of pairs, their hashes (8 bytes each) are broadcast, so that no other text is shuffled.
+BROADCAST_ENDS = 1_000_000
+
+
 def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """pairs: a, b, hashes of texts.  Those whose shingle sets are similar enough; two empty sets are."""
     import pyarrow as pa
@@ -328,7 +332,9 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -
             for th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([th], pa.int64()), pa.array([shingle_set(text, width).view(np.int64)], pa.list_(pa.int64()))], ["th", "s"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "simhash-ends")
+    if ends.count() <= BROADCAST_ENDS:
+        ends = F.broadcast(ends)
     texts = docs.select(F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text")).join(ends, "th", "left_semi")
     sets = materialize(texts.mapInArrow(run, "th bigint, s array<bigint>").dropDuplicates(["th"]), "simhash-sets")
     x, y = sets.select(F.col("th").alias("a"), F.col("s").alias("sa")), sets.select(F.col("th").alias("b"), F.col("s").alias("sb"))
@@ -337,7 +343,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -
 
 
 #: Characters of the texts that rarity is read off, and most shingles held as common.  Both bear on speed only.
-RARITY_CHARS, COMMON = 1 << 26, 500_000
+RARITY_CHARS, COMMON = 1 << 24, 200_000
 
 
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -414,10 +420,6 @@ def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     return texts.mapInArrow(emit, schema).repartition("token").sortWithinPartitions("token").mapInArrow(shared, schema)
 
 
-#: Rounds in which each group of texts that shares a shingle sends one text to another group.
-STARS = 2
-
-
 def _mixed(shared: DataFrame, cc: DataFrame) -> DataFrame:
     """token, th, n, pos, root of the shingles that texts of several roots share."""
     rooted = materialize(shared.join(cc, shared["th"] == cc["node"]).select("token", "th", "n", "pos", "root"), "simhash-rooted")
@@ -425,19 +427,13 @@ def _mixed(shared: DataFrame, cc: DataFrame) -> DataFrame:
     return materialize(rooted.join(mixed, "token", "left_semi"), "simhash-mixed")
 
 
-def _stars(mixed: DataFrame, turn: int) -> DataFrame:
-    """a, b: of each root that shares a shingle one text, with one of the largest root there; other texts each turn."""
-    pick = F.min_by("th", F.xxhash64(F.lit(turn), "th"))
-    some = mixed.groupBy("token", "root").agg(pick.alias("th"), F.count("*").alias("m"))
-    hub = some.groupBy("token").agg(F.max(F.struct("m", "root", "th")).alias("hub")).select("token", F.col("hub.root").alias("h_root"), F.col("hub.th").alias("h_th"))
-    return some.join(hub, "token").filter("root != h_root").select(F.least("th", "h_th").alias("a"), F.greatest("th", "h_th").alias("b")).distinct()
-
-
 def missing_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
     """Returns a, b: among them all similar pairs of texts with different roots.
 
     Prefix filter: sets of the similarity share a shingle of their prefixes; at
     the first that they share, sizes and positions leave room for the overlap.
+    What they share is in both prefixes or outside that prefix which ends first
+    in the common order, so a pair also needs enough shared prefix shingles.
     Texts of the root that is largest at a shingle are not matched with each
     other, so a large group costs its product with what lies outside it.
     """
@@ -446,10 +442,16 @@ def missing_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
     rows = materialize(mixed.join(big, "token"), "simhash-sides")
     x, y = (rows.select("token", "big", *[F.col(c).alias(f"{c}{i}") for c in ("th", "n", "pos", "root")]) for i in (1, 2))
     x = x.filter("root1 != big").drop("big")
+    need = similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-6
     room = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
-    fits = (room >= similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-6) & (F.least("n1", "n2") >= similarity * F.greatest("n1", "n2") - 1e-6)
+    fits = (F.least("n1", "n2") >= similarity * F.greatest("n1", "n2") - 1e-6) & (room + F.least("pos1", "pos2") >= need)
     once = ((F.col("root2") == F.col("big")) & (F.col("root1") != F.col("big"))) | ((F.col("root2") != F.col("big")) & (F.col("root1") < F.col("root2")))
-    return x.join(y, (x["token"] == y["token"]) & fits & once).select(F.least("th1", "th2").alias("a"), F.greatest("th1", "th2").alias("b")).distinct()
+    met = x.join(y, (x["token"] == y["token"]) & fits & once)
+    # Which of the two is x differs from shingle to shingle.
+    met = met.select(F.least("th1", "th2").alias("a"), F.greatest("th1", "th2").alias("b"), F.least("n1", "n2").alias("n1"), F.greatest("n1", "n2").alias("n2"), room.alias("room"))
+    met = met.groupBy("a", "b", "n1", "n2").agg(F.count("*").alias("c"), F.max("room").alias("room"))
+    outside = F.ceil(similarity * F.greatest("n1", "n2") - 1e-6) - 1
+    return met.filter((F.col("room") >= need) & (F.col("c") + outside >= need)).select("a", "b")
 
 
 def text_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -458,9 +460,8 @@ def text_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float =
     Candidates come from rounds of SimHash cells, each verified on the shingle
     sets of whole texts; what is joined in one round is one group in the next,
     so large groups yield few pairs.  The cells are drawn at random; then a
-    prefix filter gives every similar pair that still lies in two groups (first
-    by single pairs between groups, then all), verified likewise, so no link is
-    lost.  Copies are one node, so a group of copies is never paired.
+    prefix filter gives every similar pair that still lies in two groups,
+    verified likewise, so no link is lost.  Copies are one node, so a group of copies is never paired.
     """
     lanes = ["fp", *[f"l{i}" for i in range(1, LANES)]]
     nodes = materialize(fingerprints(docs, width, LANES, True).groupBy("th").agg(*[F.first(c).alias(c) for c in lanes]), "simhash-fp")
@@ -478,11 +479,8 @@ def text_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float =
     for many in ROUNDS:
         cc = join_up(wide_candidates(nodes.join(cc, nodes["th"] == cc["node"]), _tables()[done : done + many]), cc)
         done += many
-    mixed = materialize(prefixes(docs, width, similarity), "simhash-prefixes")
-    for turn in range(STARS):
-        mixed = _mixed(mixed.select("token", "th", "n", "pos"), cc)
-        cc = join_up(_stars(mixed, turn), cc)
-    return join_up(missing_pairs(_mixed(mixed.select("token", "th", "n", "pos"), cc), similarity), cc)
+    shared = materialize(prefixes(docs, width, similarity), "simhash-prefixes")
+    return join_up(missing_pairs(_mixed(shared, cc), similarity), cc)
 
 
 def similar_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
