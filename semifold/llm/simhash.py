@@ -73,30 +73,35 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
 
-def fingerprint(text: str, width: int = SHINGLE, lanes: int = 1, distinct: bool = False) -> list[int]:
-    """The 64-bit fingerprints of one text, one for each hash family; distinct: of the set of its shingles, without repeats."""
-    counts, n = np.zeros((lanes, 64), np.int64), 0
-    whole = shingle_set(text, width) if distinct else None
-    for h in shingle_hashes(text, width) if whole is None else (whole[i : i + STEP] for i in range(0, len(whole), STEP)):
+def fingerprint(text: str, width: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of one text."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, width):
         n += len(h)
-        for i in range(lanes):
-            counts[i] += np.unpackbits(_lane(h, i).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id, th (a hash of the text), fp (bigint with the fingerprint's bits), and l1, l2 ... of further hash families."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """doc_id, th (a hash of the text) and fp (bigint with the fingerprint's bits)."""
     import pyarrow as pa
 
-    names = ["fp", *[f"l{i}" for i in range(1, lanes)]]
-
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            fp = np.array([fingerprint(t, width, lanes, distinct) for t in b.column(2).to_pylist()], np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(fp[:, i])) for i in range(lanes)]], ["doc_id", "th", *names])
+            fp = np.array([fingerprint(t, width) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "th", "fp"])
 
     text = text_of(docs)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id bigint, th bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id bigint, th bigint, fp bigint")
+
+
+def majority(shingles: np.ndarray, lanes: int) -> list[int]:
+    """The fingerprints of a set of shingles, one for each hash family."""
+    counts = np.zeros((lanes, 64), np.int64)
+    for at in range(0, len(shingles), STEP):
+        for i in range(lanes):
+            counts[i] += np.unpackbits(_lane(shingles[at : at + STEP], i).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > len(shingles), axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
 
 
 def _signed(x: int) -> int:
@@ -230,6 +235,34 @@ WIDE_SHINGLE, SIMILARITY = 5, 0.8
 LANES, ROUNDS, KEPT = 4, (2, 6, 16), 3
 #: Fingerprints of a cell between which one spanning forest is taken.
 SPAN = 1024
+#: Shingles whose hash has this many leading zeros are counted for every text: a quarter, more than a prefix has.
+ZEROS = 2
+
+
+def prefix_size(n, similarity: float):
+    """How many shingles of a set of n, in an order common to all sets, similar sets must share one of."""
+    return n - np.ceil(similarity * n - 1e-6).astype(int) + 1 if isinstance(n, np.ndarray) else n - F.ceil(similarity * n - 1e-6) + 1
+
+
+def text_nodes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """th, n (distinct shingles), fp, l1 ..., first (shingles with the smallest hashes: all with ZEROS, and no fewer than a prefix) of each text."""
+    import pyarrow as pa
+
+    lanes = ["fp", *[f"l{i}" for i in range(1, LANES)]]
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            for th, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = shingle_set(text, width)
+                many = max(int(np.searchsorted(s, np.uint64(1 << 64 - ZEROS))), min(len(s), int(prefix_size(np.array(len(s)), similarity))))
+                # All texts without shingles share this one.
+                first = s[:many].view(np.int64) if len(s) else np.zeros(1, np.int64)
+                fps = np.array(majority(s, LANES), np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([th]), pa.array([len(s)]), *[pa.array(fps[i : i + 1]) for i in range(LANES)], pa.array([first], pa.list_(pa.int64()))], ["th", "n", *lanes, "first"])
+
+    texts = docs.select(F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text"))
+    made = texts.mapInArrow(run, "th bigint, n bigint, " + ", ".join(f"{c} bigint" for c in lanes) + ", first array<bigint>")
+    return made
 
 
 def _tables() -> list[list[int]]:
@@ -323,8 +356,8 @@ def _forest(fp: np.ndarray, th: np.ndarray, root: np.ndarray) -> np.ndarray:
 BROADCAST_ENDS = 1_000_000
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """pairs: a, b, hashes of texts.  Those whose shingle sets are similar enough; two empty sets are."""
+def shingle_sets(docs: DataFrame, ends: DataFrame, width: int) -> DataFrame:
+    """th, s: the shingle sets of those texts whose hashes are in ends (th, distinct)."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
@@ -332,126 +365,70 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -
             for th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([th], pa.int64()), pa.array([shingle_set(text, width).view(np.int64)], pa.list_(pa.int64()))], ["th", "s"])
 
-    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "simhash-ends")
     if ends.count() <= BROADCAST_ENDS:
         ends = F.broadcast(ends)
     texts = docs.select(F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text")).join(ends, "th", "left_semi")
-    sets = materialize(texts.mapInArrow(run, "th bigint, s array<bigint>").dropDuplicates(["th"]), "simhash-sets")
+    return materialize(texts.mapInArrow(run, "th bigint, s array<bigint>").dropDuplicates(["th"]), "simhash-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs: a, b, hashes of texts.  Those whose shingle sets are similar enough; two empty sets are."""
     x, y = sets.select(F.col("th").alias("a"), F.col("s").alias("sa")), sets.select(F.col("th").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(x, "a").join(y, "b").filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-#: Characters of the texts that rarity is read off, and most shingles held as common.  Both bear on speed only.
-RARITY_CHARS, COMMON = 1 << 24, 200_000
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "simhash-ends")
 
 
-def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of several texts of a sample, in order, and how many have them: what the prefixes put last."""
-    import pyarrow as pa
+def _across(tokens: DataFrame) -> DataFrame:
+    """tokens: token, th, root and others.  Those rows whose token texts of several roots have, with df: how many texts."""
+    w = Window.partitionBy("token")
+    spread = tokens.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w), "df": F.count("*").over(w)})
+    return spread.filter("lo < hi").drop("lo", "hi")
 
-    def run(batches: Iterator) -> Iterator:
-        seen: set[int] = set()
-        for batch in batches:
-            for th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if th not in seen:
-                    seen.add(th)
-                    yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, width).view(np.int64))], ["h"])
-
-    texts = docs.select(F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text"))
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    some = texts.filter(F.pmod("th", F.lit(1 << 30)) < int(min(1.0, RARITY_CHARS / max(1, chars)) * (1 << 30)))
-    often = some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    got = often.orderBy(F.desc("n"), "h").limit(COMMON).collect()  # COMMON rows at most
-    h, n = np.array([r["h"] for r in got], np.int64).view(np.uint64), np.array([r["n"] for r in got], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first of a set's shingles in the order (count as common, hash): so many that similar sets share one."""
-    h, n = common
-    if len(h):
-        i = np.minimum(np.searchsorted(h, shingles), len(h) - 1)
-        shingles = shingles[np.argsort(np.where(h[i] == shingles, n[i], 0), kind="stable")]
-    return shingles[: len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-6)) + 1]
-
-
-def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """token, th, n (shingles of the text), pos: prefix shingles that several texts have; empty sets share token 0."""
-    import pyarrow as pa
-
-    common = common_shingles(docs, width)
-    names = ["token", "th", "n", "pos"]
 
-    def emit(batches: Iterator) -> Iterator:
-        seen: set[int] = set()
-        for batch in batches:
-            for th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if th in seen:
-                    continue
-                seen.add(th)
-                s = shingle_set(text, width)
-                t = prefix(s, common, similarity).view(np.int64) if len(s) else np.zeros(1, np.int64)
-                k = len(t)
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(k, th, np.int64)), pa.array(np.full(k, len(s), np.int32)), pa.array(np.arange(k, dtype=np.int32))], names)
+def alone_dropped(nodes: DataFrame, cc: DataFrame, similarity: float) -> DataFrame:
+    """th, n, root of the texts that may be similar to one of another root, by their first shingles alone.
 
-    def shared(batches: Iterator) -> Iterator:
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)]
-        for b in itertools.chain(batches, [None]):
-            if b is not None:
-                held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, b.columns, strict=True)]
-            t = held[0]
-            # The last token may go on in the next batch.
-            end = len(t) if b is None else int(np.searchsorted(t, t[-1])) if len(t) else 0
-            if end:
-                cols = [c[:end] for c in held]
-                order = np.lexsort((cols[1], cols[0]))
-                cols = [c[order] for c in cols]
-                once = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
-                cols = [c[once] for c in cols]
-                same = np.concatenate(([False], cols[0][1:] == cols[0][:-1], [False]))
-                keep = same[1:] | same[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names)
-                held = [c[end:] for c in held]
-
-    schema = "token bigint, th bigint, n int, pos int"
-    texts = docs.select(F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text"))
-    return texts.mapInArrow(emit, schema).repartition("token").sortWithinPartitions("token").mapInArrow(shared, schema)
-
-
-def _mixed(shared: DataFrame, cc: DataFrame) -> DataFrame:
-    """token, th, n, pos, root of the shingles that texts of several roots share."""
-    rooted = materialize(shared.join(cc, shared["th"] == cc["node"]).select("token", "th", "n", "pos", "root"), "simhash-rooted")
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    return materialize(rooted.join(mixed, "token", "left_semi"), "simhash-mixed")
-
-
-def missing_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
-    """Returns a, b: among them all similar pairs of texts with different roots.
-
-    Prefix filter: sets of the similarity share a shingle of their prefixes; at
-    the first that they share, sizes and positions leave room for the overlap.
-    What they share is in both prefixes or outside that prefix which ends first
-    in the common order, so a pair also needs enough shared prefix shingles.
-    Texts of the root that is largest at a shingle are not matched with each
-    other, so a large group costs its product with what lies outside it.
+    In the order (counted shingles by their texts, then the others by hash) the
+    prefix of a text starts with those that no other root has.  If there is
+    nothing else in it, the text has no partner.
     """
-    sizes = mixed.groupBy("token", "root").agg(F.count("*").alias("m"))
-    big = sizes.groupBy("token").agg(F.max(F.struct("m", "root"))["root"].alias("big"))
-    rows = materialize(mixed.join(big, "token"), "simhash-sides")
-    x, y = (rows.select("token", "big", *[F.col(c).alias(f"{c}{i}") for c in ("th", "n", "pos", "root")]) for i in (1, 2))
+    counted = F.shiftrightunsigned("token", 64 - ZEROS) == 0
+    rows = nodes.join(cc, nodes["th"] == cc["node"]).select("th", "n", "root", F.explode("first").alias("token"))
+    met = _across(rows.withColumn("counted", counted.cast("int")))
+    seen = met.groupBy("th", "n", "root").agg(F.sum("counted").alias("s"), F.sum(1 - F.col("counted")).alias("other"))
+    sized = nodes.select(F.col("th").alias("t2"), F.size(F.filter("first", lambda t: F.shiftrightunsigned(t, 64 - ZEROS) == 0)).alias("all"))
+    may = ((F.col("s") > 0) & (F.col("all") - F.col("s") < prefix_size(F.col("n"), similarity))) | (F.col("other") > 0)
+    return materialize(seen.join(sized, F.col("th") == F.col("t2")).filter(may).select("th", "n", "root"), "simhash-may")
+
+
+def missing_pairs(may: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """may: th, n, root; sets: their shingles.  Returns a, b: among them all similar pairs of texts with different roots.
+
+    Prefix filter in the order (shingles by the number of their texts, hash),
+    where shingles of one root count as of one text: sets of the similarity share
+    one of their prefixes; at the first that they share, sizes and positions
+    leave room for the overlap.  Texts of the root that is largest at a shingle
+    are not matched with each other.
+    """
+    rows = sets.withColumn("token", F.explode(F.when(F.size("s") > 0, F.col("s")).otherwise(F.array(F.lit(0).cast("long"))))).select("th", "token")
+    met = _across(rows.join(may, "th"))
+    w = Window.partitionBy("th")
+    ranked = met.withColumns({"rank": F.row_number().over(w.orderBy("df", "token")), "m": F.count("*").over(w)})
+    ranked = ranked.withColumn("pos", F.greatest(F.col("n"), F.lit(1)) - F.col("m") + F.col("rank") - 1)
+    left = materialize(ranked.filter(F.col("pos") < prefix_size(F.col("n"), similarity)).select("token", "th", "n", "pos", "root"), "simhash-prefixes")
+    sizes = left.groupBy("token", "root").agg(F.count("*").alias("m"))
+    big = sizes.groupBy("token").agg(F.max(F.struct("m", "root"))["root"].alias("big"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    sides = materialize(left.join(big, "token"), "simhash-sides")
+    x, y = (sides.select("token", "big", *[F.col(c).alias(f"{c}{i}") for c in ("th", "n", "pos", "root")]) for i in (1, 2))
     x = x.filter("root1 != big").drop("big")
     need = similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-6
-    room = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
-    fits = (F.least("n1", "n2") >= similarity * F.greatest("n1", "n2") - 1e-6) & (room + F.least("pos1", "pos2") >= need)
+    fits = (F.least("n1", "n2") >= similarity * F.greatest("n1", "n2") - 1e-6) & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need)
     once = ((F.col("root2") == F.col("big")) & (F.col("root1") != F.col("big"))) | ((F.col("root2") != F.col("big")) & (F.col("root1") < F.col("root2")))
-    met = x.join(y, (x["token"] == y["token"]) & fits & once)
-    # Which of the two is x differs from shingle to shingle.
-    met = met.select(F.least("th1", "th2").alias("a"), F.greatest("th1", "th2").alias("b"), F.least("n1", "n2").alias("n1"), F.greatest("n1", "n2").alias("n2"), room.alias("room"))
-    met = met.groupBy("a", "b", "n1", "n2").agg(F.count("*").alias("c"), F.max("room").alias("room"))
-    outside = F.ceil(similarity * F.greatest("n1", "n2") - 1e-6) - 1
-    return met.filter((F.col("room") >= need) & (F.col("c") + outside >= need)).select("a", "b")
+    return x.join(y, (x["token"] == y["token"]) & fits & once).select(F.least("th1", "th2").alias("a"), F.greatest("th1", "th2").alias("b")).distinct()
 
 
 def text_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -461,15 +438,17 @@ def text_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float =
     sets of whole texts; what is joined in one round is one group in the next,
     so large groups yield few pairs.  The cells are drawn at random; then a
     prefix filter gives every similar pair that still lies in two groups,
-    verified likewise, so no link is lost.  Copies are one node, so a group of copies is never paired.
+    verified likewise, so no link is lost.  Most texts drop out of it by a
+    quarter of their shingles, and only the others' are all counted.  Copies are
+    one node, so a group of copies is never paired.
     """
-    lanes = ["fp", *[f"l{i}" for i in range(1, LANES)]]
-    nodes = materialize(fingerprints(docs, width, LANES, True).groupBy("th").agg(*[F.first(c).alias(c) for c in lanes]), "simhash-fp")
+    nodes = text_nodes(docs, width, similarity)
+    nodes = materialize(nodes.groupBy("th").agg(*[F.first(c).alias(c) for c in nodes.columns[1:]]), "simhash-nodes")
     cc = nodes.select(F.col("th").alias("node"), F.col("th").alias("root"))
 
-    def join_up(pairs: DataFrame, cc: DataFrame) -> DataFrame:
+    def join_up(pairs: DataFrame, sets: DataFrame, cc: DataFrame) -> DataFrame:
         """cc after the groups of those pairs that pass verification are joined."""
-        found = verified(docs, materialize(pairs, "simhash-pairs"), width, similarity)
+        found = verified(pairs, sets, similarity)
         a, b = cc.select(F.col("node").alias("a"), F.col("root").alias("ra")), cc.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         joined = components(found.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         moved = joined.select(F.col("node").alias("was"), F.col("root").alias("now"))
@@ -477,10 +456,12 @@ def text_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float =
 
     done = 0
     for many in ROUNDS:
-        cc = join_up(wide_candidates(nodes.join(cc, nodes["th"] == cc["node"]), _tables()[done : done + many]), cc)
+        pairs = materialize(wide_candidates(nodes.drop("first", "n").join(cc, nodes["th"] == cc["node"]), _tables()[done : done + many]), "simhash-pairs")
+        cc = join_up(pairs, shingle_sets(docs, ends_of(pairs), width), cc)
         done += many
-    shared = materialize(prefixes(docs, width, similarity), "simhash-prefixes")
-    return join_up(missing_pairs(_mixed(shared, cc), similarity), cc)
+    may = alone_dropped(nodes, cc, similarity)
+    sets = shingle_sets(docs, may.select("th"), width)
+    return join_up(materialize(missing_pairs(may, sets, similarity), "simhash-pairs"), sets, cc)
 
 
 def similar_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
