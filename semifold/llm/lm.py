@@ -5,17 +5,27 @@ one aggregate keyed by the token's 64-bit hash gives c, N and V exactly.  Counts
 of at least ``COMMON`` of all tokens are broadcast (there are at most 1/COMMON
 of those); occurrences of rarer tokens are joined with their counts by hash.
 
-Model: a vocabulary of the ``VOCAB`` commonest tokens and one class for all
-others.  P(next | two before) is log-bilinear: the context is a per-position
-weighted sum of embeddings, scored against output embeddings plus a bias.  Each
-partition trains on all of its tokens against noise shared within a minibatch;
-the partitions' parameters are averaged, weighted by tokens, in two shuffle
-steps.  For scoring, the bilinear form is tabulated and all normalisers follow
-from one product of two VOCAB-square matrices, so probabilities sum to 1.  A
-token of the class "other" has the share (c+1) of that class, unseen ones 1.
+Outputs: each of the ``WORDS`` commonest tokens is one; all other tokens, seen
+or not, are in classes by their last bytes, the ``ENDINGS`` commonest of which
+are outputs of their own, and one output stands for the rest.  So the model
+covers every token of the corpus: P(token) = P(class | context) * (c+1) / (the
+class's tokens + its kinds + 1), which sums to 1 with one unseen token a class.
+
+Model: P(class | two before) is log-bilinear: the context is a per-position
+weighted sum of embeddings, scored against output embeddings plus a bias.  Every
+training token is used once, against noise shared within a minibatch.  Documents
+are dealt to shards by a hash of their tokens, the number of shards growing with
+the root of the corpus; each shard trains its own parameters and the sums are
+averaged, weighted by tokens, so the model does not depend on how a table is
+partitioned.  For scoring, the bilinear form is tabulated and all normalisers
+follow from one product of two square matrices, so probabilities sum to 1.
+
+A second pass turns the texts into class ids once; training and scoring read
+those.
 
 Defined cases: null text is empty (its only token is the end); repeated rows
-are scored alike; with no training rows, counts are 0 and the model uniform.
+are scored alike; a text of any length is one sequence, held as one array; with
+no training rows, counts are 0 and the model uniform; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,16 +37,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, materialize, text_of
 
 FOLDS, TEST_FOLD = 7, 2
-VOCAB, DIM, NOISE, BATCH, RATE = 1024, 16, 32, 1024, 0.15
-#: A partition goes over its first tokens several times, until it has made this many token updates.
-EARLY, EARLY_PASSES = 2_000_000, 4
+WORDS, ENDINGS = 1280, 767
+TAIL = 3
+DIM, NOISE, RATE = 16, 32, 0.15
+#: Minibatches grow from the one to the other.
+SMALLEST, LARGEST = 128, 2048
+#: Square root of the training tokens for each shard.
+PER_SHARD = 512
+#: Rows of the parameters that are summed together.
+BLOCK = 128
 COMMON = 2e-6
 END = b"\n"
 FLUSH = 400_000
@@ -55,12 +70,17 @@ def _hash(token: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def ending(token: bytes) -> int:
+    """The last bytes as a number."""
+    return int.from_bytes(token[-TAIL:], "big")
+
+
 def token_counts(texts: DataFrame) -> DataFrame:
-    """texts: one column.  Returns h, c."""
+    """texts: one column.  Returns h, s (the ending), c."""
     import pyarrow as pa
 
     def rows(c: Counter):
-        return pa.RecordBatch.from_arrays([pa.array([_hash(t) for t in c], pa.int64()), pa.array(list(c.values()), pa.int64())], ["h", "c"])
+        return pa.RecordBatch.from_arrays([pa.array([_hash(t) for t in c], pa.int64()), pa.array([ending(t) for t in c], pa.int32()), pa.array(list(c.values()), pa.int64())], ["h", "s", "c"])
 
     def run(batches: Iterator) -> Iterator:
         c: Counter = Counter()
@@ -73,19 +93,23 @@ def token_counts(texts: DataFrame) -> DataFrame:
         if c:
             yield rows(c)
 
-    return texts.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "h bigint, s int, c bigint").groupBy("h").agg(F.min("s").alias("s"), F.sum("c").alias("c"))
 
 
 @dataclass
 class Lexicon:
-    """Common tokens by hash, sorted; ``word`` is the vocabulary id, 0 for others.  Looks tokens up through a bounded memo."""
+    """Common tokens by hash, sorted, with counts and words' outputs (0: in a class), and the outputs of endings.
+
+    A token is looked up once and then kept in a bounded memo, as slot * 2^16 + output (slot 0: not common).
+    """
 
     h: np.ndarray
     c: np.ndarray
     word: np.ndarray
+    endings: dict[int, int]
     memo: dict = field(default_factory=dict)
 
-    def slots(self, toks: list[bytes]) -> np.ndarray:
+    def codes(self, toks: list[bytes]) -> np.ndarray:
         memo = self.memo
         if len(memo) > 1_000_000:
             memo.clear()
@@ -97,12 +121,12 @@ class Lexicon:
             at = np.searchsorted(self.h, hs)
             at[at == len(self.h)] = 0
             ok = self.h[at] == hs if len(self.h) else np.zeros(len(hs), bool)
-            memo.update(zip(fresh, np.where(ok, at, -1).tolist(), strict=True))
+            word = np.where(ok, self.word[at], 0) if len(self.h) else np.zeros(len(hs), np.int64)
+            get = self.endings.get
+            out = [w or get(ending(t), 0) for w, t in zip(word.tolist(), fresh, strict=True)]
+            memo.update(zip(fresh, (np.where(ok, at + 1, 0) * 65536 + np.array(out, np.int64)).tolist(), strict=True))
             return np.fromiter(map(memo.__getitem__, toks), np.int64, len(toks))
 
-    def words(self, slots: np.ndarray) -> np.ndarray:
-        return np.where(slots >= 0, self.word[slots], np.int16(0)) if len(self.word) else np.zeros(len(slots), np.int16)
-
 
 @dataclass
 class Params:
@@ -126,11 +150,12 @@ class Params:
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """a[w1, w], b[w2, w] and log Z[w1, w2]; log P(w) = a + b - log Z."""
-        a = (self.r * self.c[0]) @ self.q.T
-        b = (self.r * self.c[1]) @ self.q.T + self.b
+        r, q, c = (x.astype(np.float32) for x in (self.r, self.q, self.c))
+        a = (r * c[0]) @ q.T
+        b = (r * c[1]) @ q.T + self.b.astype(np.float32)
         ma, mb = a.max(1, keepdims=True), b.max(1, keepdims=True)
         z = np.exp(a - ma) @ np.exp(b - mb).T
-        return a, b, np.log(np.maximum(z, 1e-300)) + ma + mb.T
+        return a, b, np.log(np.maximum(z, 1e-30)) + ma + mb.T
 
 
 def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -174,6 +199,15 @@ class Trainer:
             x -= RATE * grad * 100 / np.sqrt(acc)
         self.n += n
 
+    def feed(self, w: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> None:
+        """All of the tokens, in an order drawn anew."""
+        order = self.rng.permutation(len(w))
+        at = 0
+        while at < len(w):
+            k = order[at : at + min(LARGEST, max(SMALLEST, self.n // 64))]
+            self.step(w1[k], w2[k], w[k])
+            at += len(k)
+
 
 def contexts(words: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The two words before each, with the end word before the text."""
@@ -181,115 +215,173 @@ def contexts(words: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return before[:-2], before[1:-1]
 
 
-def train(texts: DataFrame, lexicon, prior: np.ndarray, end: int) -> Params:
-    """Every partition trains on all of its tokens; parameters are averaged row by row."""
-    v = len(prior)
+@dataclass
+class Outputs:
+    """What the counts say: N, V, tokens and kinds of each output's class (0 for words), and its prior."""
+
+    n: int
+    v: int
+    tokens: np.ndarray
+    kinds: np.ndarray
+    prior: np.ndarray
+    end: int
+
+
+def outputs(counts: DataFrame) -> tuple[Lexicon, Outputs, int]:
+    """The lexicon, the outputs, and the count from which a token is common."""
+    n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
+    floor = max(1, math.ceil(n * COMMON))
+    common = counts.filter(F.col("c") >= floor).toPandas().sort_values("h")  # 1/COMMON rows at most
+    h, c = common["h"].to_numpy(np.int64), common["c"].to_numpy(np.int64)
+    top = np.lexsort((h, -c))[:WORDS]
+    word = np.zeros(len(h), np.int64)
+    word[top] = np.arange(1, len(top) + 1)
+    last = int(c[top].min()) if len(top) == WORDS else 0
+    # Ties at the last word: some are words, the others in a class.
+    in_class = counts.filter((F.col("c") < floor) | ((F.col("c") <= last) & ~F.col("h").isin(h[top][c[top] == last].tolist())))
+    by = in_class.groupBy("s").agg(F.sum("c").alias("c"), F.count("*").alias("k"))
+    ends = by.orderBy(F.desc("c"), "s").limit(ENDINGS).collect()
+    rest = in_class.agg(F.sum("c"), F.count("*")).first()
+    size = len(top) + 1 + len(ends)
+    tok, kinds = np.zeros(size), np.zeros(size)
+    for i, r in enumerate(ends):
+        tok[len(top) + 1 + i], kinds[len(top) + 1 + i] = r["c"], r["k"]
+    tok[0], kinds[0] = (rest[0] or 0) - tok.sum(), rest[1] - kinds.sum()
+    prior = tok.copy()
+    prior[1 : len(top) + 1] = c[top]
+    prior = np.maximum(prior, 1) / np.maximum(prior, 1).sum()
+    lex = Lexicon(h, c, word, {r["s"]: len(top) + 1 + i for i, r in enumerate(ends)})
+    return lex, Outputs(n, v, tok, kinds, prior, int(lex.codes([END])[0]) & 65535), floor
+
+
+ROWS = "rid bigint, doc_id bigint, n_tokens bigint, known bigint, base double, share double, rare array<bigint>, ids binary"
+
+
+def encode(docs: DataFrame, lexicon, out: Outputs) -> DataFrame:
+    """docs: rid, doc_id, text.  ROWS: counts, sums over common tokens, the hashes of the others, and the outputs of all.
+
+    share: log10 of the tokens' shares in their classes, without the counts of tokens that are not common.
+    """
+    import pyarrow as pa
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    in_class = (out.kinds > 0) | (np.arange(len(out.kinds)) == 0)
+    den = np.where(in_class, np.log10(out.tokens + out.kinds + 1), 0.0)
+
+    def run(batches: Iterator) -> Iterator:
         lex = lexicon.value
-        t = Trainer(Params.start(prior), prior, 1)
-        held: list[tuple] = []
-        size = 0
-        for pdf in batches:
-            for text in pdf.iloc[:, 0]:
-                w = lex.words(lex.slots(tokens(text)))
-                held.append((*contexts(w, end), w))
-                size += len(w)
-                if size >= 128 * BATCH:
-                    _epoch(t, held)
-                    held, size = [], 0
-        if held:
-            _epoch(t, held)
-        if t.n:
-            rows = np.vstack([t.p.flat(), np.hstack([t.p.c.ravel(), [0.0]])[None, :]])
-            yield pd.DataFrame({"i": np.arange(v + 1), "part": uuid.uuid4().int % 32, "n": float(t.n), "v": list(rows * t.n)})
+        log_c = np.concatenate(([0.0], np.log10(lex.c + 1.0)))
+        for batch in batches:
+            cols: dict[str, list] = {k: [] for k in ("n_tokens", "known", "base", "share", "rare", "ids")}
+            for text in batch.column(2).to_pylist():
+                toks = tokens(text)
+                code = lex.codes(toks)
+                slot, w = code >> 16, code & 65535
+                logs = log_c[slot]
+                cls = in_class[w]
+                cols["n_tokens"].append(len(toks))
+                cols["known"].append(int((slot > 0).sum()))
+                cols["base"].append(float(logs.sum()))
+                cols["share"].append(float(logs[cls].sum() - den[w].sum()))
+                cols["rare"].append([_hash(toks[i]) for i in np.flatnonzero(slot == 0)])
+                cols["ids"].append(w.astype(np.uint16).tobytes())
+            kinds = {"n_tokens": pa.int64(), "known": pa.int64(), "rare": pa.list_(pa.int64()), "ids": pa.binary()}
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, kinds.get(k, pa.float64())) for k, x in cols.items()]], ["rid", "doc_id", *cols])
+
+    return docs.mapInArrow(run, ROWS)
+
+
+def train(ids: DataFrame, out: Outputs) -> Params:
+    """ids: one column.  Each shard trains on its documents; parameters are averaged in blocks of rows."""
+    import pyarrow as pa
+
+    v, end, prior = len(out.prior), out.end, out.prior
+    shards = max(1, math.ceil(math.sqrt(out.n) / PER_SHARD))
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [pdf["i"].iloc[0]], "part": [0], "n": [pdf["n"].sum()], "v": [np.sum(pdf["v"].to_numpy(), axis=0)]})
+    def parts(batches: Iterator) -> Iterator:
+        t, shard, held, size = None, None, [], 0
 
-    schema = "i int, part bigint, n double, v array<double>"
-    sums = texts.mapInPandas(part, schema).groupBy("i", "part").applyInPandas(add, schema).groupBy("i").applyInPandas(add, schema).collect()
+        def flush() -> None:
+            if held:
+                t.feed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+        def rows():
+            all_rows = np.vstack([t.p.flat(), np.hstack([t.p.c.ravel(), [0.0]])[None, :]]).astype(np.float64) * t.n
+            blocks = [all_rows[i : i + BLOCK].tobytes() for i in range(0, v + 1, BLOCK)]
+            return pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([shard % 64] * len(blocks), pa.int32()), pa.array([float(t.n)] * len(blocks)), pa.array(blocks, pa.binary())], ["block", "part", "n", "v"])
+
+        for b in batches:
+            for at, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if at != shard:
+                    if t is not None:
+                        flush()
+                        yield rows()
+                    t, shard, held, size = Trainer(Params.start(prior), prior, 1), at, [], 0
+                w = np.frombuffer(x, np.uint16).astype(np.int32)
+                held.append((w, *contexts(w, end)))
+                size += len(w)
+                if size >= 1 << 18:
+                    flush()
+                    held, size = [], 0
+        if t is not None:
+            flush()
+            yield rows()
+
+    def add(key, table):
+        total, n = 0.0, 0.0
+        for x, y in zip(table["n"].to_pylist(), table["v"].to_pylist(), strict=True):
+            n, total = n + x, total + np.frombuffer(y)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "n": pa.array([n]), "v": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "block int, part int, n double, v binary"
+    dealt = ids.select(F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("ids", F.lit(1)).alias("place"), "ids")
+    made = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "place").mapInArrow(parts, schema)
+    sums = made.groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).orderBy("block").collect()
     start = Params.start(prior)
     if not sums:
         return start
-    rows = np.zeros((v + 1, 2 * DIM + 1))
-    for r in sums:
-        rows[r["i"]] = np.array(r["v"]) / r["n"]
+    rows = np.vstack([np.frombuffer(r["v"]).reshape(-1, 2 * DIM + 1) / r["n"] for r in sums])
     return Params.unflat(rows[:v], rows[v, : 2 * DIM].reshape(2, DIM))
 
 
-def _epoch(t: Trainer, held: list[tuple]) -> None:
-    w1, w2, w = (np.concatenate(x) for x in zip(*held, strict=True))
-    for _ in range(EARLY_PASSES if t.n < EARLY else 1):
-        order = t.rng.permutation(len(w))
-        for i in range(0, len(w), BATCH):
-            k = order[i : i + BATCH]
-            t.step(w1[k], w2[k], w[k])
-
-
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     import pyarrow as pa
 
     sc = docs.sparkSession.sparkContext
     held_out = fold(F.col("doc_id"), FOLDS) == TEST_FOLD
-    texts = docs.filter(~held_out).select(text_of(docs).alias("text"))
-    counts = materialize(token_counts(texts), "lm-counts")
-    n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    floor = max(1, math.ceil(n * COMMON))
-    common = counts.filter(F.col("c") >= floor).toPandas().sort_values("h")
-    h, c = common["h"].to_numpy(np.int64), common["c"].to_numpy(np.int64)
-    top = np.lexsort((h, -c))[: VOCAB - 1]
-    word = np.zeros(len(h), np.int16)
-    word[top] = np.arange(1, len(top) + 1)
-    end = int(word[np.searchsorted(h, _hash(END))]) if len(h) and _hash(END) in h else 0
-    size = len(top) + 1
-    prior = np.zeros(size)
-    prior[1:] = c[top]
-    prior[0] = n - prior.sum()
-    prior = np.maximum(prior, 1) / np.maximum(prior, 1).sum()
-    lexicon = sc.broadcast(Lexicon(h, c, word))
-    params = train(texts, lexicon, prior, end)
-    model = sc.broadcast((uuid.uuid4().hex, params, end))
-    others, kinds = n - int(c[top].sum()), v - len(top)
+    counts = materialize(token_counts(docs.filter(~held_out).select(text_of(docs).alias("text"))), "lm-counts")
+    lex, out, floor = outputs(counts)
+    # Numbered once, as the rows are written.
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    made = materialize(encode(rows, sc.broadcast(lex), out), "lm-rows")
+    params = train(made.filter(~held_out).select("ids"), out)
+    model = sc.broadcast((uuid.uuid4().hex, params, out.end))
+    keep = ["rid", "doc_id", "n_tokens", "known", "base", "share"]
 
     def run(batches: Iterator) -> Iterator:
-        lex = lexicon.value
         a, b, logz = _tables(model.value)
         last = model.value[2]
-        log_c = np.log10(lex.c + 1.0)
         for batch in batches:
-            cols: dict[str, list] = {k: [] for k in ("n_tokens", "known", "base", "lbl", "n_other", "other", "rare")}
-            for text in batch.column(2).to_pylist():
-                toks = tokens(text)
-                s = lex.slots(toks)
-                w = lex.words(s)
+            lbl = []
+            for x in batch.column(len(keep)).to_pylist():
+                w = np.frombuffer(x, np.uint16).astype(np.int64)
                 w1, w2 = contexts(w, last)
-                common = s >= 0
-                cols["n_tokens"].append(len(toks))
-                cols["known"].append(int(common.sum()))
-                cols["base"].append(float(log_c[s[common]].sum()))
-                cols["lbl"].append(float((a[w1, w] + b[w2, w] - logz[w1, w2]).sum() / math.log(10)))
-                cols["n_other"].append(int((w == 0).sum()))
-                cols["other"].append(float(log_c[s[common & (w == 0)]].sum()))
-                cols["rare"].append([_hash(toks[i]) for i in np.flatnonzero(~common)])
-            kinds_ = {"n_tokens": pa.int64(), "known": pa.int64(), "n_other": pa.int64(), "rare": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, kinds_.get(k, pa.float64())) for k, x in cols.items()]], ["rid", "doc_id", *cols])
+                lbl.append(float((a[w1, w] + b[w2, w] - logz[w1, w2]).sum(dtype=np.float64) / math.log(10)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lbl, pa.float64())], [*keep, "lbl"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    made = materialize(rows.mapInArrow(run, "rid bigint, doc_id bigint, n_tokens bigint, known bigint, base double, lbl double, n_other bigint, other double, rare array<bigint>"), "lm-rows")
+    scored = made.select(*keep, "ids").mapInArrow(run, "rid bigint, doc_id bigint, n_tokens bigint, known bigint, base double, share double, lbl double")
     rare = counts.filter(F.col("c") < floor).select(F.col("h").alias("rh"), F.col("c").alias("rc"))
     pairs = made.select("rid", F.explode("rare").alias("h")).join(rare, F.col("h") == F.col("rh"))
     sums = pairs.groupBy(F.col("rid").alias("r2")).agg(F.count("*").alias("rk"), F.sum(F.log10(F.col("rc") + 1.0)).alias("rs"))
     rs, rk = F.coalesce("rs", F.lit(0.0)), F.coalesce("rk", F.lit(0))
-    return made.drop("rare").join(sums, F.col("rid") == F.col("r2"), "left").select(
+    return scored.join(sums, F.col("rid") == F.col("r2"), "left").select(
         "doc_id",
-        (fold(F.col("doc_id"), FOLDS) == TEST_FOLD).alias("held_out"),
+        held_out.alias("held_out"),
         "n_tokens",
         (F.col("known") + rk).alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + rs - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
-        (F.col("lbl") + F.col("other") + rs - F.col("n_other") * math.log10(others + kinds + 1)).alias("score"),
+        F.lit(int(out.n)).cast("long").alias("train_tokens"),
+        (F.col("base") + rs - F.col("n_tokens") * math.log10(out.n + out.v + 1)).alias("base_score"),
+        (F.col("lbl") + F.col("share") + rs).alias("score"),
     )
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from semifold.llm import imatch, licenses, lm
+from tests.oracle import SF
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 ROWS = [(1, None), (2, ""), (5, "The cat sat on The mat"), (5, "The cat sat on The mat"), (None, "É zz"), (7, "the dog sat\n\non a mat " * 40), (9, "unseen words here"), (12, "w " * 5000)] + [(20 + i, f"the cat {i} and the dog {i % 3} sat on a mat number {i % 5}") for i in range(40)]
@@ -33,7 +34,67 @@ def test_language_model(spark):
 def test_probabilities_sum_to_one():
     p = lm.Params.start(np.full(20, 0.05))
     a, b, z = p.table()
-    assert np.allclose(np.exp(a[:, None, :] + b[None, :, :] - z[:, :, None]).sum(2), 1)
+    assert np.allclose(np.exp(a[:, None, :] + b[None, :, :] - z[:, :, None]).sum(2), 1, atol=1e-5)
+
+
+@pytest.mark.parametrize("words", [6, 1280])
+def test_score_is_the_model_applied_token_by_token(spark, monkeypatch, words):
+    """One token after the other in plain Python, from the counts and the trained parameters."""
+    monkeypatch.setattr(lm, "WORDS", words)
+    monkeypatch.setattr(lm, "ENDINGS", 4)
+    made = []
+    monkeypatch.setattr(lm, "train", lambda ids, out, train=lm.train: made.append((train(ids, out), out)) or made[-1][0])
+    outputs = lm.outputs
+    monkeypatch.setattr(lm, "outputs", lambda counts: made.append(outputs(counts)) or made[-1])
+    got = lm.score(frame(spark)).collect()
+    (lex, out, _), (p, _) = made
+    toks = lambda t: (t or "").encode().lower().split() + [b"\n"]
+    c = Counter(x for d, t in ROWS if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2 for x in toks(t))
+    of_hash = {int(h): int(w) for h, w in zip(lex.h, lex.word, strict=True)}
+    place = lambda x: of_hash.get(lm._hash(x), 0) or lex.endings.get(lm.ending(x), 0)
+    is_word = lambda x: bool(of_hash.get(lm._hash(x), 0))
+    inside = {}
+    for x, n in c.items():
+        if not is_word(x):
+            inside.setdefault(place(x), []).append(n)
+    assert sum(map(is_word, c)) == min(words, len(c)) and len(lex.endings) == (4 if words == 6 else 0)
+
+    def log_p(w1, w2, x):
+        logits = p.q @ (p.c[0] * p.r[w1] + p.c[1] * p.r[w2]) + p.b
+        out = (logits[place(x)] - np.log(np.exp(logits).sum())) / math.log(10)
+        ns = inside.get(place(x), [])
+        return out if is_word(x) else out + math.log10((c[x] + 1) / (sum(ns) + len(ns) + 1))
+
+    def total(t):
+        w, out = [place(b"\n")] * 2, 0.0
+        for x in toks(t):
+            out += log_p(*w[-2:], x)
+            w.append(place(x))
+        return out
+
+    want = sorted((repr(d), len(toks(t)), total(t)) for d, t in ROWS)
+    for r, w in zip(sorted(got, key=lambda r: (repr(r["doc_id"]), r["n_tokens"])), want, strict=True):
+        assert r["n_tokens"] == w[1] and r["score"] == pytest.approx(w[2], abs=1e-3 * w[1])
+    # Over all tokens that can follow, with one unseen of each class, probabilities sum to 1.
+    unseen = [i for i in range(len(out.prior)) if i == 0 or i in lex.endings.values()]
+    logits = p.q @ (p.c[0] * p.r[1] + p.c[1] * p.r[2]) + p.b
+    share = sum(math.exp(logits[i]) / np.exp(logits).sum() / (sum(inside.get(i, [])) + len(inside.get(i, [])) + 1) for i in unseen)
+    assert sum(10 ** log_p(1, 2, x) for x in c) + share == pytest.approx(1, abs=1e-6)
+
+
+def test_the_model_beats_the_counts_and_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = {r["doc_id"]: r for r in lm.score(docs.coalesce(1)).collect()}
+    many = {r["doc_id"]: r for r in lm.score(docs.repartition(13)).collect()}
+    assert one.keys() == many.keys() and all(r["score"] == pytest.approx(many[d]["score"], abs=1e-6 * r["n_tokens"]) for d, r in one.items())
+    out = [r for r in one.values() if r["held_out"]]
+    assert sum(r["score"] - r["base_score"] for r in out) / sum(r["n_tokens"] for r in out) > 0.2
+
+
+def test_extra_columns_of_the_model(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, "k")], "doc_id bigint, text string, rid int, score string")
+    assert lm.score(df).columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert lm.score(df).first()["n_tokens"] == 4
 
 
 def test_fingerprints(spark):

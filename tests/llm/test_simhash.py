@@ -189,8 +189,8 @@ def test_no_link_is_lost(spark, monkeypatch):
             holders.setdefault(x, []).append(i)
     pairs = {(i, j) for i, j in {(i, j) for h in holders.values() for j in h for i in h if i < j} if similar(sets[i], sets[j])}
 
-    # All of them where the cells find none, and few shingles are known as common.
+    # All of them where the cells find none, and few shingles are counted for every text.
     monkeypatch.setattr(simhash, "wide_candidates", lambda nodes, tables: nodes.sparkSession.createDataFrame([], "a bigint, b bigint"))
-    monkeypatch.setattr(simhash, "COMMON", 3)
+    monkeypatch.setattr(simhash, "ZEROS", 4)
     root = {r["text"] or "": r["root"] for r in simhash.similar_groups(docs).join(docs, "doc_id").collect()}
     assert pairs and [(i, j) for i, j in pairs if root[texts[i]] != root[texts[j]]] == []
