@@ -40,6 +40,8 @@ BANDWIDTH = 4.0
 RIDGE = 1e-2
 BINS = 2048
 SEED = 11
+#: Ids up to which labels (8 bytes each) are broadcast.
+BROADCAST_LABELS = 1_000_000
 
 _UPPER = np.arange(65, 91)
 _LOWER = np.arange(97, 123)
@@ -70,8 +72,8 @@ def statistics(text: str) -> list[float]:
     return [float(x) for x in out]
 
 
-def features(docs: DataFrame, *keep: str, name: str = "stats") -> DataFrame:
-    """The kept columns and ``name``: the statistics."""
+def features(docs: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns and ``stats``."""
     import pyarrow as pa
 
     cols = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(docs).alias("__text"))
@@ -80,9 +82,9 @@ def features(docs: DataFrame, *keep: str, name: str = "stats") -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         for b in batches:
             stats = pa.array([statistics(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], stats], names=[*b.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], stats], names=[*b.schema.names[:-1], "stats"])
 
-    return cols.mapInArrow(run, f"{schema}, {name} array<double>")
+    return cols.mapInArrow(run, f"{schema}, stats array<double>")
 
 
 @dataclass(frozen=True)
@@ -209,14 +211,22 @@ def digest(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier accepts, all columns as they came.
 
-    One pass computes the statistics of every document and writes them beside
-    its columns; model and filter read those, so texts are neither shuffled nor
-    counted twice.
+    The model is fitted first; then one pass scores and filters every document,
+    so that texts are neither shuffled nor written again.
     """
     lab = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("quality").cast("int").alias("label"))
     r = fold(F.col("doc_id"), FOLDS)
-    stats = materialize(features(docs, *docs.columns, name="__stats"), "quality-documents")
-    own = stats.select("doc_id", F.col("__stats").alias("stats")).filter(r != TEST_FOLD)
-    training = own.join(lab, F.col("doc_id") == F.col("l_id")).select("stats", "label", (r == CALIBRATION_FOLD).alias("calibrate"))
+    few = lab.filter(fold(F.col("l_id"), FOLDS) != TEST_FOLD)
+    if few.count() <= BROADCAST_LABELS:
+        # Only texts that have a label to learn from are counted for the fit.
+        own = features(docs.join(F.broadcast(few.select("l_id")), F.col("doc_id") == F.col("l_id"), "left_semi"), "doc_id")
+    else:
+        own = features(docs, "doc_id")
+    training = materialize(own, "quality-stats").filter(r != TEST_FOLD).join(lab, F.col("doc_id") == F.col("l_id")).select("stats", "label", (r == CALIBRATION_FOLD).alias("calibrate"))
     model = fit(materialize(training, "quality-training"))
-    return stats.filter(score_column(model)("__stats") >= threshold).drop("__stats")
+
+    @F.pandas_udf("double")
+    def run(text: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t) for t in text]).reshape(len(text), STATS)))
+
+    return docs.filter(run(text_of(docs)) >= threshold)

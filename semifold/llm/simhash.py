@@ -396,11 +396,10 @@ def alone_dropped(nodes: DataFrame, cc: DataFrame, similarity: float) -> DataFra
     prefix of a text starts with those that no other root has.  If there is
     nothing else in it, the text has no partner.
     """
-    counted = F.shiftrightunsigned("token", 64 - ZEROS) == 0
-    rows = nodes.join(cc, nodes["th"] == cc["node"]).select("th", "n", "root", F.explode("first").alias("token"))
-    met = _across(rows.withColumn("counted", counted.cast("int")))
-    seen = met.groupBy("th", "n", "root").agg(F.sum("counted").alias("s"), F.sum(1 - F.col("counted")).alias("other"))
-    sized = nodes.select(F.col("th").alias("t2"), F.size(F.filter("first", lambda t: F.shiftrightunsigned(t, 64 - ZEROS) == 0)).alias("all"))
+    rows = nodes.join(cc, nodes["th"] == cc["node"]).select("th", "root", F.explode("first").alias("token"))
+    counted = (F.shiftrightunsigned("token", 64 - ZEROS) == 0).cast("int")
+    seen = _across(rows).groupBy("th", "root").agg(F.sum(counted).alias("s"), F.sum(1 - counted).alias("other"))
+    sized = nodes.select(F.col("th").alias("t2"), "n", F.size(F.filter("first", lambda t: F.shiftrightunsigned(t, 64 - ZEROS) == 0)).alias("all"))
     may = ((F.col("s") > 0) & (F.col("all") - F.col("s") < prefix_size(F.col("n"), similarity))) | (F.col("other") > 0)
     return materialize(seen.join(sized, F.col("th") == F.col("t2")).filter(may).select("th", "n", "root"), "simhash-may")
 
@@ -415,7 +414,7 @@ def missing_pairs(may: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     are not matched with each other.
     """
     rows = sets.withColumn("token", F.explode(F.when(F.size("s") > 0, F.col("s")).otherwise(F.array(F.lit(0).cast("long"))))).select("th", "token")
-    met = _across(rows.join(may, "th"))
+    met = _across(rows.join(may.select("th", "root"), "th")).join(may.select("th", "n"), "th")
     w = Window.partitionBy("th")
     ranked = met.withColumns({"rank": F.row_number().over(w.orderBy("df", "token")), "m": F.count("*").over(w)})
     ranked = ranked.withColumn("pos", F.greatest(F.col("n"), F.lit(1)) - F.col("m") + F.col("rank") - 1)
