@@ -120,3 +120,103 @@ def test_licences_are_found_and_inherited(spark):
     got = {r["rid"]: (r["license"], r["scope"], r["declared_by"]) for r in licenses.licences(df).collect()}
     assert got == {0: ("MIT", "own", None), 1: ("MIT", "inherited", "a"), 2: ("Apache-2.0", "own", None), 3: (None, None, None), 4: (None, None, None), 5: ("MIT", "inherited", "a"), 6: (None, None, None)}
     assert licenses.licences(df.limit(0)).count() == 0
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 A. Nobody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+CODE = "\n\nint main(int argc, char **argv) {\n  return run(argc, argv);\n}\n" * 60
+
+
+def commented(text, mark, width=11):
+    w = text.split()
+    return "\n".join(f"{mark} {' '.join(w[i : i + width])}" for i in range(0, len(w), width)) + CODE
+
+
+def test_real_licence_files_and_headers(spark):
+    t = {}
+    for name, text in licenses.TEXTS:
+        t.setdefault(name, text)
+    files = [
+        ("mit/LICENSE", MIT_FILE, ("MIT", "own", None)),
+        ("mit/src/deep/a.c", CODE, ("MIT", "inherited", "mit")),
+        ("mit/src/b.c", commented(t["BSD-3-Clause"], "//"), ("BSD-3-Clause", "own", None)),
+        ("two/b.c", commented(t["BSD-2-Clause"], " *"), ("BSD-2-Clause", "own", None)),
+        ("gpl/x.py", commented(t["GPL-3.0"], "#"), ("GPL-3.0", "own", None)),
+        ("gpl/y.py", commented(t["GPL-2.0"], "#"), ("GPL-2.0", "own", None)),
+        ("gpl/z.py", commented(t["AGPL-3.0"], "#"), ("AGPL-3.0", "own", None)),
+        ("gpl/w.py", CODE, (None, None, None)),
+        ("ap/COPYING", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n", ("Apache-2.0", "own", None)),
+        ("ap/k", "", ("Apache-2.0", "inherited", "ap")),
+        ("ap/h.js", commented(t["Apache-2.0"], "//", 9), ("Apache-2.0", "own", None)),
+        ("mpl/h.js", commented(t["MPL-2.0"], "*", 13), ("MPL-2.0", "own", None)),
+        ("spdx/h.js", "// SPDX-License-Identifier: ISC" + CODE, ("ISC", "own", None)),
+        ("spdx/g.js", "# SPDX-License-Identifier: GPL-2.0\n" + CODE, ("GPL-2.0", "own", None)),
+        ("no/a", "Permission to park here is granted to any person, free of charge.", (None, None, None)),
+        ("no/b", "the general public was free to read the notice above", (None, None, None)),
+        ("no/long", "word " * 200_000, (None, None, None)),
+    ]
+    df = spark.createDataFrame([(p, x, "kept", "gone") for p, x, _ in files], "path string, text string, rid string, license string")
+    got = licenses.licences(df)
+    assert got.columns == ["path", "rid", "license", "similarity", "scope", "declared_by"]
+    rows = {r["path"]: (r["license"], r["scope"], r["declared_by"]) for r in got.collect()}
+    assert rows == {p: w for p, _, w in files}
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_similarities_equal_plain_tf_idf(spark, monkeypatch, few):
+    """All lines and sentences of a table against all notices; joins broadcast or salted."""
+    monkeypatch.setattr(licenses, "BROADCAST_KEYS", few)
+    templates = licenses.NOTICES
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    extra = [(10**6, "Released under the MIT Licence, the MIT License.", None), (10**6 + 1, "Licensed under the Mozilla Public License, Version 2.0. And under CC BY 4.0.", "x")]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    vocab = {w for _, t in templates for w in licenses._terms(t)}
+    df = Counter(w for t in texts.values() for w in vocab & set(re.split(r"[^a-z0-9.-]+|[.-](?![a-z0-9])", t.lower())))
+    idf = {w: math.log((len(texts) + 1) / (df[w] + 1)) + 1 for w in vocab}
+
+    def vector(terms):
+        v = {w: n * idf.get(w, 1.0) for w, n in Counter(terms).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    made = [(name, vector(licenses._terms(t))) for name, t in templates]
+    want = {}
+    for d, t in texts.items():
+        for piece in re.split(licenses.PIECES, t):
+            v = vector(licenses._terms(piece)) if licenses._terms(piece) else {}
+            for name, m in made:
+                cos = round(sum(x * m.get(w, 0.0) for w, x in v.items()), 6)
+                if cos >= licenses.THRESHOLD:
+                    want.setdefault(d, set()).add((-cos, name))
+    path = "concat(coalesce(source, '_'), '/', doc_id)"
+    got = {r["doc_id"]: (r["similarity"], r["license"]) for r in licenses.licences(docs.selectExpr("doc_id", f"{path} as path", "text"), templates=templates).collect() if r["scope"] == "own"}
+    only_lines = {d: min(x) for d, x in want.items()}
+    assert len(want) > 1 and want.keys() <= got.keys()
+    assert all(got[d][0] >= -s - 2e-6 and (got[d][1] == name or got[d][0] > -s) for d, (s, name) in only_lines.items())
+
+
+def test_ties_of_licences(spark):
+    files = [("d/LICENSE", "Released under the MIT License."), ("d/COPYING", "Released under the ISC License."), ("d/x", "code"), ("d/x", "code")]
+    got = sorted((r["path"], r["license"]) for r in licenses.licences(spark.createDataFrame(files, "path string, text string")).collect())
+    assert got == [("d/COPYING", "ISC"), ("d/LICENSE", "MIT"), ("d/x", "ISC"), ("d/x", "ISC")]
