@@ -253,7 +253,8 @@ def licences(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES
     cols = [c for c in files.columns if c != "text" and c not in ADDED]
     found = materialize(scan(files, threshold, templates), "licence-found")
     best = found.groupBy("th").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("own"))
-    share = found.groupBy("th", "kind").agg(F.sum("words").alias("w")).groupBy(F.col("th").alias("w_th")).agg(F.max("w").alias("l_words"))
+    # A whole file may be similar for its header alone, so it does not tell how many of its words are of a licence.
+    share = found.withColumn("words", F.when(F.col("kind") < 3, F.col("words")).otherwise(0)).groupBy("th", "kind").agg(F.sum("words").alias("w")).groupBy(F.col("th").alias("w_th")).agg(F.max("w").alias("l_words"))
     own = materialize(best.join(share, F.col("th") == F.col("w_th")).select(F.col("th").alias("o_th"), F.col("own.s").alias("o_s"), F.col("own.license").alias("o_license"), "l_words"), "licence-own")
     path = F.coalesce(F.col("path").cast("string"), F.lit(""))
     named = F.regexp_extract(path, "([^/]*)$", 1).rlike(LICENCE_NAME)
