@@ -189,7 +189,9 @@ def pieces(text: Column) -> Column:
     """kind (0 lines and sentences, 1 paragraphs, 2 the header, 3 the whole) and text of each piece."""
     clean = lambda c: F.regexp_replace(c, COMMENT, "")
     made = [F.split(text, PIECES), F.split(clean(text), PARAGRAPH), F.array(clean(F.regexp_extract(text, HEADER, 0))), F.array(clean(text))]
-    return F.concat(*[F.transform(c, lambda p, k=k: F.struct(F.lit(k).alias("kind"), p.alias("line"))) for k, c in enumerate(made)])
+    # A second parameter of the lambda would be the index in the array.
+    of = lambda kind: lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("line"))
+    return F.concat(*[F.transform(c, of(kind)) for kind, c in enumerate(made)])
 
 
 def scan(files: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
