@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import struct
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
 #: Nominal false-positive probability.
@@ -43,7 +45,14 @@ class Bloom:
         return self
 
     def estimate(self) -> float:
-        return float(self._s.approximateElementCount()) if hasattr(self._s, "approximateElementCount") else float("nan")
+        """How many distinct values were put, from the share of bits that are set."""
+        out = SparkContext._jvm.java.io.ByteArrayOutputStream()
+        self._s.writeTo(out)
+        data = bytes(out.toByteArray())
+        version, hashes = struct.unpack(">ii", data[:8])
+        words = data[12 if version == 1 else 16 :]
+        ones, bits = sum(b.bit_count() for b in words), 8 * len(words)
+        return -bits / hashes * math.log1p(-ones / bits) if ones < bits else math.inf
 
     def bits(self) -> int:
         return self._s.bitSize()

@@ -252,6 +252,8 @@ class Compiler:
             return F.coalesce(F.col(fv).cast("double"), F.lit(0.0)) if fv else self.score(idx, body.get("query"))
         if name == "filterjoin":
             return F.lit(parse_filter_join(body).boost)
+        if name == "constant_score":
+            return F.lit(float(body.get("boost", 1.0)))
         if name == "bool":
             out = F.lit(0.0)
             for kind in ("must", "should"):

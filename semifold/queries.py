@@ -96,7 +96,8 @@ def terms_top(spark, d):
 
 def terms_pruned(spark, d):
     r = engine(spark, d, "customer", shards={"customer": 3}).terms_by_query("c_nationkey", _range("c_acctbal", gt=0), "customer", max_terms_per_shard=5)
-    return r.hits.agg(F.bool_or(F.col("hits") > r.limit).alias("is_pruned"), F.sum("hits").alias("total_hits"))
+    wide = engine(spark, d, "customer", shards={"customer": 3}).terms_by_query("c_nationkey", _range("c_acctbal", gt=0), "customer", max_terms_per_shard=10**7)
+    return r.hits.agg(F.lit(r.is_pruned).alias("is_pruned"), F.lit(wide.is_pruned).alias("wide_is_pruned"), F.sum("hits").alias("total_hits"))
 
 
 def cardinality_exact(spark, d):
@@ -120,7 +121,11 @@ def actions_metadata(spark, d):
 
 
 def cardinality_approx(spark, d):
-    return engine(spark, d, "orders").cardinality("o_custkey", "orders")
+    """Whether the sketch lies within three of its standard errors of the exact count."""
+    eng = engine(spark, d, "orders")
+    exact = eng.terms_by_query("o_custkey", None, "orders").df.agg(F.count("*").alias("exact"))
+    near = F.abs(F.col("cardinality") - F.col("exact")) <= 0.15 * F.col("exact")
+    return exact.crossJoin(eng.cardinality("o_custkey", "orders")).select("exact", near.alias("near"))  # one row each
 
 
 def cache_stats(spark, d):
@@ -129,12 +134,153 @@ def cache_stats(spark, d):
         eng.search({"query": BUILDING}, index="orders")
     stats = eng.cache_stats()
     eng.clear_cache()
-    return spark.createDataFrame([(stats["size"], stats["hit_count"], stats["miss_count"], stats["eviction_count"])], "size int, hit_count int, miss_count int, eviction_count int")
+    return spark.createDataFrame([(stats["size"], stats["size_in_bytes"], stats["hit_count"], stats["miss_count"], stats["eviction_count"])], "size int, size_in_bytes bigint, hit_count int, miss_count int, eviction_count int")
 
 
 def index_version(spark, d):
+    """An index keeps its version while nothing is written, and every write changes it."""
     eng = engine(spark, d, "orders", "customer")
-    return spark.createDataFrame([("orders", eng.index_version("orders") == eng.index_version("orders"))], "index string, stable boolean")
+    df = eng.catalog["customer"].df
+    rows = [("orders", eng.index_version("orders") == engine(spark, d, "orders").index_version("orders"))]
+    eng.catalog.register("customer", df, id_col="c_custkey")
+    before = eng.index_version("customer")
+    eng.catalog.register("customer", df.filter("c_custkey < 100"), id_col="c_custkey")
+    return spark.createDataFrame([*rows, ("customer", eng.index_version("customer") == before)], "index string, stable boolean")
+
+
+def cache_staleness(spark, d):
+    """What a join finds before and after a write to an index that only a nested join reads."""
+    eng = engine(spark, d, "orders", "customer", "nation", cache=True)
+    q = {"query": fj("o_custkey", "customer", "c_custkey", fj("c_nationkey", "nation", "n_nationkey", _range("n_nationkey", lt=5)))}
+    rows = [(0, eng.search(q, index="orders").total)]
+    eng.catalog.register("nation", eng.catalog["nation"].df.filter("n_nationkey = 3"), id_col="n_nationkey")
+    again = eng.search(q, index="orders")
+    rows.append((1, again.total))
+    hits = eng.cache_stats()["hit_count"]
+    eng.clear_cache()
+    return spark.createDataFrame([(i, n, hits) for i, n in rows], "write int, total bigint, hit_count int")
+
+
+def all_indices(spark, d):
+    """A lookup that names no index reads all that have the field."""
+    eng = engine(spark, d, "nation")
+    for n, p in (("customer", "c"), ("supplier", "s")):
+        df = spark.read.parquet(os.path.join(d, f"{n}.parquet"))
+        eng.catalog.register(f"{n}_bal", df.select(F.col(f"{p}_nationkey").alias("nationkey"), F.col(f"{p}_acctbal").alias("acctbal")))
+    return eng.search({"query": fj("n_nationkey", None, "nationkey", _range("acctbal", gt=9950)), "_source": ["n_nationkey"]}, index="nation").df
+
+
+def alias_terms(spark, d):
+    eng = engine(spark, d, "customer")
+    eng.catalog.alias("builders", "customer", F.col("c_mktsegment") == "BUILDING")
+    return eng.terms_by_query("c_nationkey", _range("c_acctbal", gt=9000), "builders").df
+
+
+def guard(spark, d):
+    """Key sets at and over a limit of terms."""
+    from .errors import TermsLimitExceeded
+
+    def passes(limit):
+        try:
+            engine(spark, d, "customer").terms_by_query("c_nationkey", None, "customer", max_terms=limit)
+        except TermsLimitExceeded:
+            return False
+        return True
+
+    return spark.createDataFrame([(n, passes(n)) for n in (10**6, 2)], "max_terms int, passes boolean")
+
+
+def _refused(made) -> bool:
+    from .errors import QueryError
+
+    try:
+        made()
+    except QueryError:
+        return True
+    return False
+
+
+def terms_validation(spark, d):
+    eng = engine(spark, d, "customer")
+    bad = {"bytes_unlimited": {"encoding": "bytes"}, "score_unlimited": {"order_by": "doc_score"}, "unknown_encoding": {"encoding": "odd"}, "negative": {"max_terms_per_shard": -1}, "fine": {"encoding": "integer"}}
+    return spark.createDataFrame([(n, _refused(lambda k=k: eng.terms_by_query("c_nationkey", None, "customer", **k))) for n, k in bad.items()], "request string, refused boolean")
+
+
+def parser_validation(spark, d):
+    eng = engine(spark, d, "customer")
+    bad = {
+        "no_path": {"filterjoin": {"c_custkey": {"indices": ["customer"]}}},
+        "odd_key": {"filterjoin": {"c_custkey": {"path": "c_custkey", "odd": 1}}},
+        "no_cache_key": {"fielddata_terms": {"c_custkey": {"value": [1]}}},
+        "no_value": {"termsenum_terms": {"c_custkey": {"_cache_key": 1}}},
+        "unknown": {"nothing": {}},
+        "fine": _term("c_custkey", 1),
+    }
+    return spark.createDataFrame([(n, _refused(lambda q=q: eng.search({"query": q}, index="customer"))) for n, q in bad.items()], "request string, refused boolean")
+
+
+def actions_order(spark, d):
+    """Nested joins are reported innermost first."""
+    eng = engine(spark, d, "orders", "customer", "nation")
+    q = fj("o_custkey", "customer", "c_custkey", fj("c_nationkey", "nation", "n_nationkey", _range("n_nationkey", lt=5)))
+    got = eng.search({"query": q}, index="orders").actions
+    return spark.createDataFrame([(i, a["relations"]["from"]["field"], a["size"]) for i, a in enumerate(got)], "place int, from_field string, size bigint")
+
+
+def wrapper(spark, d):
+    import base64
+    import json
+
+    body = base64.b64encode(json.dumps(BUILDING).encode()).decode()
+    return engine(spark, d, "orders", "customer").search({"query": {"wrapper": {"query": body}}, "_source": ["o_orderkey"]}, index="orders").df
+
+
+def uri(spark, d):
+    return engine(spark, d, "orders").search(q='o_orderstatus:F AND o_orderpriority:"1-URGENT"', index="orders").df.select("o_orderkey")
+
+
+def template(spark, d):
+    source = '{"query": {"filterjoin": {"o_custkey": {"indices": ["customer"], "path": "c_custkey", "query": {"term": {"c_mktsegment": "{{segment}}"}}}}}, "_source": ["o_orderkey"]}'
+    return engine(spark, d, "orders", "customer").search_template(source, {"segment": "FURNITURE"}, index="orders").df
+
+
+def builders(spark, d):
+    from .plans.builders import QueryBuilders as Q
+
+    q = Q.filter_join("o_custkey").indices("customer").path("c_custkey").query(_range("c_acctbal", lt=0)).build()
+    return engine(spark, d, "orders", "customer").search({"query": q, "_source": ["o_orderkey"]}, index="orders").df
+
+
+def text_score(spark, d):
+    hits = engine(spark, d, "documents").search({"query": _term("text", "hein")}, index="documents", score=True).df
+    return hits.select("doc_id", F.round("_score", 4).alias("score"))
+
+
+def constant(spark, d):
+    hits = engine(spark, d, "customer").search({"query": {"constant_score": {"filter": _range("c_acctbal", gt=9000), "boost": 2.0}}}, index="customer", score=True).df
+    return hits.select("c_custkey", "_score")
+
+
+def join_score(spark, d):
+    """A filter join scores a constant."""
+    return engine(spark, d, "orders", "customer").search({"query": BUILDING}, index="orders", score=True).df.select("o_orderkey", "_score")
+
+
+def metric_aggs(spark, d):
+    aggs = {"n": {"terms": {"field": "c_mktsegment"}, "aggs": {"top": {"max": {"field": "c_acctbal"}}, "low": {"min": {"field": "c_acctbal"}}, "many": {"value_count": {"field": "c_custkey"}}}}}
+    return engine(spark, d, "customer").search({"aggs": aggs}, index="customer").aggs["n"]
+
+
+def bloom_sketch(spark, d):
+    """No false negative, few false positives, and an estimate near the exact count."""
+    from .functions.bloom import DEFAULT_FPP, Bloom
+
+    keys = spark.read.parquet(os.path.join(d, "orders.parquet")).select(F.col("o_orderkey").cast("long").alias("k"))
+    n = keys.distinct().count()
+    b = Bloom.of(keys.filter("k % 2 = 0"), "k", n).merge(Bloom.of(keys.filter("k % 2 <> 0"), "k", n))
+    inside = [r[0] for r in keys.limit(500).collect()]
+    false = sum(b.might_contain(-1 - i) for i in range(2000)) / 2000
+    return spark.createDataFrame([(all(b.might_contain(k) for k in inside), false <= 2 * DEFAULT_FPP, abs(b.estimate() - n) <= 0.05 * n)], "none_missed boolean, few_false boolean, estimate_near boolean")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -156,7 +302,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fj_integer_encoding": _search(["lineitem", "part"], "lineitem", {"query": fj("l_partkey", "part", "p_partkey", _term("p_size", 11), termsEncoding="integer"), "_source": ["l_orderkey", "l_linenumber"]}),
     "fj_bloom_verified": _search(["lineitem", "supplier"], "lineitem", {"query": fj("l_suppkey", "supplier", "s_suppkey", _range("s_acctbal", lt=0), termsEncoding="bloom"), "_source": ["l_orderkey", "l_linenumber"]}),
     "fj_bytes": _search(["part"], "part", {"query": fj("p_name", "part", "p_name", _range("p_partkey", lt=5), termsEncoding="bytes", maxTermsPerShard=1000), "_source": ["p_partkey", "p_name"]}),
-    "terms_literal": _search(["orders"], "orders", {"query": {"fielddata_terms": {"o_orderkey": {"value": [1, 2, 4, 8, 10, 7, 6, 11, 5], "_cache_key": 1}}}, "_source": ["o_orderkey"]}),
+    "terms_literal": _search(["orders"], "orders", {"query": {"fielddata_terms": {"o_orderkey": {"value": [3, 9, 27, 32, 33, 64, 96, 100, 5000], "_cache_key": 1}}}, "_source": ["o_orderkey"]}),
     "terms_by_query": lambda s, d: engine(s, d, "orders").terms_by_query("o_custkey", _term("o_orderstatus", "F"), "orders").df,
     "terms_limit_default": terms_limit,
     "terms_top_score": terms_top,
@@ -172,6 +318,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cardinality_approx": cardinality_approx,
     "cache_stats": cache_stats,
     "index_version": index_version,
+    "cache_staleness": cache_staleness,
+    "fj_all_indices": all_indices,
+    "fj_post_filter": _search(["orders", "customer"], "orders", {"query": _term("o_orderstatus", "F"), "post_filter": BUILDING, "_source": ["o_orderkey"]}),
+    "terms_literal_enum": _search(["customer"], "customer", {"query": {"termsenum_terms": {"c_name": {"value": ["Customer#000000007", "Customer#000000011", "nobody"], "_cache_key": 2}}}, "_source": ["c_custkey"]}),
+    "terms_alias": alias_terms,
+    "terms_guard": guard,
+    "terms_validation": terms_validation,
+    "parser_validation": parser_validation,
+    "actions_order": actions_order,
+    "q_terms": _search(["orders"], "orders", {"query": {"terms": {"o_orderpriority": ["1-URGENT", "5-LOW"]}}, "_source": ["o_orderkey"]}),
+    "q_filtered": _search(["orders", "customer"], "orders", {"query": {"filtered": {"query": _range("o_totalprice", gt=100000), "filter": BUILDING}}, "_source": ["o_orderkey"]}),
+    "q_constant_score": constant,
+    "q_wrapper": wrapper,
+    "q_uri": uri,
+    "q_text_score": text_score,
+    "fj_score": join_score,
+    "search_template": template,
+    "search_builders": builders,
+    "search_aggs": metric_aggs,
+    "bloom_sketch": bloom_sketch,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -193,11 +359,11 @@ ORACLE_SQL: dict[str, str] = {
     "fj_integer_encoding": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 11)",
     "fj_bloom_verified": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)",
     "fj_bytes": "SELECT p_partkey, p_name FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_partkey < 5)",
-    "terms_literal": "SELECT o_orderkey FROM orders WHERE o_orderkey IN (1, 2, 4, 8, 10, 7, 6, 11, 5)",
+    "terms_literal": "SELECT o_orderkey FROM orders WHERE o_orderkey IN (3, 9, 27, 32, 33, 64, 96, 100, 5000)",
     "terms_by_query": "SELECT DISTINCT o_custkey AS term FROM orders WHERE o_orderstatus = 'F'",
     "terms_limit_default": "WITH t AS (SELECT c_custkey % 3 AS shard, c_nationkey AS term, min(c_custkey) AS first_doc FROM customer WHERE c_acctbal > 0 GROUP BY 1, 2), r AS (SELECT term, row_number() OVER (PARTITION BY shard ORDER BY first_doc, term) AS rn FROM t) SELECT DISTINCT term FROM r WHERE rn <= 5",
     "terms_top_score": "WITH d AS (SELECT o_custkey AS term, row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) SELECT DISTINCT term FROM d WHERE rn <= 50",
-    "terms_pruned_flag": "SELECT bool_or(hits > 5) AS is_pruned, sum(hits) AS total_hits FROM (SELECT c_custkey % 3 AS shard, count(*) AS hits FROM customer WHERE c_acctbal > 0 GROUP BY 1) s",
+    "terms_pruned_flag": "SELECT bool_or(hits > 5) AS is_pruned, bool_or(hits > 10000000) AS wide_is_pruned, sum(hits) AS total_hits FROM (SELECT c_custkey % 3 AS shard, count(*) AS hits FROM customer WHERE c_acctbal > 0 GROUP BY 1) s",
     "cardinality_exact": "SELECT count(DISTINCT o_custkey) AS cardinality FROM orders",
     "q_range": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 100000 AND o_totalprice <= 100500",
     "q_bool": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND (o_orderpriority = '1-URGENT' OR o_totalprice > 400000) AND NOT (o_orderdate < TIMESTAMP '1995-01-01')",
@@ -206,4 +372,27 @@ ORACLE_SQL: dict[str, str] = {
     "msearch": "SELECT 0 AS response, o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9900) UNION ALL SELECT 1 AS response, o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50)",
     "search_exists": "SELECT count(*) > 0 AS exists_flag FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)",
     "actions_metadata": "SELECT 'o_custkey' AS to_field, 'customer' AS from_index, 'c_custkey' AS from_field, count(DISTINCT c_custkey) AS size, false AS is_pruned, false AS cache_hit, 'long' AS terms_encoding FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "cardinality_approx": "SELECT count(DISTINCT o_custkey) AS exact, true AS near FROM orders",
+    "cache_stats": "SELECT 1 AS size, 9 + 8 * count(DISTINCT c_custkey) AS size_in_bytes, 1 AS hit_count, 1 AS miss_count, 0 AS eviction_count FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "index_version": "SELECT * FROM (VALUES ('orders', true), ('customer', false)) v(index, stable)",
+    "cache_staleness": "SELECT 0 AS write, count(*) AS total, 0 AS hit_count FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 5 UNION ALL SELECT 1, count(*), 0 FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3",
+    "fj_all_indices": "SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9950 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 9950)",
+    "fj_post_filter": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
+    "terms_literal_enum": "SELECT c_custkey FROM customer WHERE c_name IN ('Customer#000000007', 'Customer#000000011', 'nobody')",
+    "terms_alias": "SELECT DISTINCT c_nationkey AS term FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000",
+    "terms_guard": "SELECT m AS max_terms, n <= m AS passes FROM (SELECT count(DISTINCT c_nationkey) AS n FROM customer) c, (VALUES (1000000), (2)) v(m)",
+    "terms_validation": "SELECT * FROM (VALUES ('bytes_unlimited', true), ('score_unlimited', true), ('unknown_encoding', true), ('negative', true), ('fine', false)) v(request, refused)",
+    "parser_validation": "SELECT * FROM (VALUES ('no_path', true), ('odd_key', true), ('no_cache_key', true), ('no_value', true), ('unknown', true), ('fine', false)) v(request, refused)",
+    "actions_order": "SELECT 0 AS place, 'n_nationkey' AS from_field, count(*) AS size FROM nation WHERE n_nationkey < 5 UNION ALL SELECT 1, 'c_custkey', count(DISTINCT c_custkey) FROM customer WHERE c_nationkey < 5",
+    "q_terms": "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')",
+    "q_filtered": "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
+    "q_constant_score": "SELECT c_custkey, CAST(2 AS DOUBLE) AS _score FROM customer WHERE c_acctbal > 9000",
+    "q_wrapper": "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
+    "q_uri": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'",
+    "q_text_score": r"WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM documents), d AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'hein')) AS tf FROM t), s AS (SELECT count(*) AS n, count(*) FILTER (WHERE tf > 0) AS df FROM d) SELECT doc_id, round(sqrt(tf) * pow(1 + ln(s.n / (s.df + 1)), 2) / sqrt(d.n), 4) AS score FROM d, s WHERE tf > 0",
+    "fj_score": "SELECT o_orderkey, CAST(1 AS DOUBLE) AS _score FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
+    "search_template": "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'FURNITURE')",
+    "search_builders": "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
+    "search_aggs": "SELECT c_mktsegment, count(*) AS doc_count, max(c_acctbal) AS top, min(c_acctbal) AS low, count(c_custkey) AS many FROM customer GROUP BY 1",
+    "bloom_sketch": "SELECT true AS none_missed, true AS few_false, true AS estimate_near",
 }

@@ -56,16 +56,19 @@ class IndexDef:
         return F.col(self.order_col) if self.order_col else F.lit(0)
 
     def version(self) -> str:
-        """Changes when the files (or, for an in-memory view, the registration) behind the index change."""
+        """Changes when the files (or, for an in-memory view, the registration) behind the index change.
+
+        Of files: time, bytes and number below the root, two calls however many there are.
+        """
         parts = [f"{self.name}:{self.writes}"]
         if self.path is not None:
             spark = self.df.sparkSession
-            hpath = spark._jvm.org.apache.hadoop.fs.Path
             conf = spark._jsc.hadoopConfiguration()
-            for name in sorted(self.df.inputFiles()):
-                p = hpath(name)
-                st = p.getFileSystem(conf).getFileStatus(p)
-                parts.append(f"{name}:{st.getLen()}:{st.getModificationTime()}")
+            root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            fs = root.getFileSystem(conf)
+            for st in fs.globStatus(root) or ():
+                sums = fs.getContentSummary(st.getPath())
+                parts.append(f"{st.getPath()}:{st.getModificationTime()}:{sums.getLength()}:{sums.getFileCount()}")
         return hashlib.sha256("|".join(parts).encode()).hexdigest()
 
 

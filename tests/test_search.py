@@ -14,15 +14,16 @@ from semifold.plans import QueryBuilders as Q
 from semifold.plans.dsl import unwrap
 from semifold.queries import fj
 
-FK = [("1", 1, [1, 3]), ("2", 2, None), ("3", 3, [2]), ("4", 4, [1, 4])]
-TAGS = [("1", 1, "aaa"), ("2", 2, "aaa"), ("3", 3, "bbb"), ("4", 4, "ccc")]
+PAPERS = [("p10", 10, [21, 23]), ("p11", 11, []), ("p12", 12, None), ("p13", 13, [22]), ("p14", 14, [23, 24, 24]), ("p15", 15, [99])]
+AUTHORS = [("a21", 21, "red"), ("a22", 22, "blue"), ("a23", 23, "red"), ("a24", 24, "green"), ("a25", 25, "red")]
 
 
 def two(spark, key="int", **cfg) -> Engine:
     conv = str if key == "string" else int
     cat = Catalog(spark)
-    cat.register("index1", spark.createDataFrame([(i, conv(a), b and [conv(x) for x in b]) for i, a, b in FK], f"_id string, id {key}, foreign_key array<{key}>"), id_col="_id")
-    cat.register("index2", spark.createDataFrame([(i, conv(a), t) for i, a, t in TAGS], f"_id string, id {key}, tag string"), id_col="_id", analyzed=["tag"])
+    papers = [(i, conv(a), None if b is None else [conv(x) for x in b]) for i, a, b in PAPERS]
+    cat.register("papers", spark.createDataFrame(papers, f"_id string, id {key}, written_by array<{key}>"), id_col="_id")
+    cat.register("authors", spark.createDataFrame([(i, conv(a), t) for i, a, t in AUTHORS], f"_id string, id {key}, team string"), id_col="_id", analyzed=["team"])
     return Engine(cat, EngineConfig(**(cfg or {"cache_enabled": False})))
 
 
@@ -30,115 +31,116 @@ def ids(result) -> list:
     return sorted(r["_id"] for r in result.df.select("_id").collect())
 
 
-def tag(v):
-    return {"term": {"tag": v}}
+def team(v):
+    return {"term": {"team": v}}
 
 
 @pytest.mark.parametrize("key", ["string", "int", "bigint"])
 @pytest.mark.parametrize("extra", [{}, {"termsEncoding": "integer"}, {"termsEncoding": "bloom"}, {"termsEncoding": "bytes", "maxTermsPerShard": 1000}])
 def test_basic_empty_reverse(spark, key, extra):
     e = two(spark, key)
-    assert ids(e.search({"query": fj("foreign_key", "index2", "id", tag("aaa"), **extra)}, "index1")) == ["1", "3", "4"]
-    assert ids(e.search({"query": fj("foreign_key", "index2", "id", tag("ddd"), **extra)}, "index1")) == []
-    assert ids(e.search({"query": fj("id", "index1", "foreign_key", {"term": {"id": 1}}, **extra)}, "index2")) == ["1", "3"]
-    assert ids(e.search({"query": fj("id", "index1", "foreign_key", {"term": {"id": 2}}, **extra)}, "index2")) == []
+    assert ids(e.search({"query": fj("written_by", "authors", "id", team("red"), **extra)}, "papers")) == ["p10", "p14"]
+    assert ids(e.search({"query": fj("written_by", "authors", "id", team("nobody"), **extra)}, "papers")) == []
+    assert ids(e.search({"query": fj("id", "papers", "written_by", {"term": {"id": 14}}, **extra)}, "authors")) == ["a23", "a24"]
+    for none in (11, 12, 15):
+        assert ids(e.search({"query": fj("id", "papers", "written_by", {"term": {"id": none}}, **extra)}, "authors")) == []
 
 
 def test_boolean_composition(spark):
     e = two(spark)
-    j = fj("foreign_key", "index2", "id", tag("aaa"))
-    assert ids(e.search({"query": {"bool": {"must_not": [j]}}}, "index1")) == ["2"]
-    assert ids(e.search({"query": {"bool": {"should": [j, {"term": {"id": 2}}]}}}, "index1")) == ["1", "2", "3", "4"]
-    assert ids(e.search({"query": {"bool": {"must_not": [{"bool": {"should": [j, {"term": {"id": 2}}]}}]}}}, "index1")) == []
-    assert ids(e.search({"query": {"bool": {"filter": [j, {"range": {"id": {"gte": 3}}}]}}}, "index1")) == ["3", "4"]
-    assert ids(e.search({"query": {"filtered": {"query": {"match_all": {}}, "filter": j}}}, "index1")) == ["1", "3", "4"]
-    assert ids(e.search({"query": {"constant_score": {"filter": j}}}, "index1")) == ["1", "3", "4"]
-    assert ids(e.search({"query": {"match_all": {}}, "post_filter": j}, "index1")) == ["1", "3", "4"]
+    j = fj("written_by", "authors", "id", team("red"))
+    late = {"range": {"id": {"gte": 13}}}
+    assert ids(e.search({"query": {"bool": {"must_not": [j]}}}, "papers")) == ["p11", "p12", "p13", "p15"]
+    assert ids(e.search({"query": {"bool": {"should": [j, {"term": {"id": 12}}]}}}, "papers")) == ["p10", "p12", "p14"]
+    assert ids(e.search({"query": {"bool": {"must_not": [{"bool": {"should": [j, late]}}]}}}, "papers")) == ["p11", "p12"]
+    assert ids(e.search({"query": {"bool": {"filter": [j, late]}}}, "papers")) == ["p14"]
+    assert ids(e.search({"query": {"filtered": {"query": {"match_all": {}}, "filter": j}}}, "papers")) == ["p10", "p14"]
+    assert ids(e.search({"query": {"constant_score": {"filter": j}}}, "papers")) == ["p10", "p14"]
+    assert ids(e.search({"query": {"match_all": {}}, "post_filter": j}, "papers")) == ["p10", "p14"]
 
 
 def test_wrapper_uri_template_builder(spark):
     e = two(spark)
-    j = Q.filter_join("foreign_key").indices("index2").types("t").path("id").query(tag("aaa")).routing("x").filter_name("n").boost(2).build()
+    j = Q.filter_join("written_by").indices("authors").types("t").path("id").query(team("red")).routing("x").filter_name("n").boost(2).build()
     w = {"wrapper": {"query": base64.b64encode(json.dumps(j).encode()).decode()}}
     assert unwrap(w) == j
-    assert ids(e.search({"query": w}, "index1")) == ["1", "3", "4"]
-    r = e.search(q="tag:aaa", index="index2")
-    assert ids(r) == ["1", "2"] and r.actions == []
-    t = '{"query": {"filterjoin": {"foreign_key": {"indices": ["index2"], "path": "id", "query": {"term": {"tag": "{{v}}"}}}}}}'
-    assert ids(e.search_template(t, {"v": "aaa"}, index="index1")) == ["1", "3", "4"]
+    assert ids(e.search({"query": w}, "papers")) == ["p10", "p14"]
+    r = e.search(q="team:red", index="authors")
+    assert ids(r) == ["a21", "a23", "a25"] and r.actions == []
+    t = '{"query": {"filterjoin": {"written_by": {"indices": ["authors"], "path": "id", "query": {"term": {"team": "{{v}}"}}}}}}'
+    assert ids(e.search_template(t, {"v": "blue"}, index="papers")) == ["p13"]
     with pytest.raises(QueryError):
-        e.search_template(t, {}, index="index1")
+        e.search_template(t, {}, index="papers")
 
 
 def test_unknown_fields_join_nothing(spark):
     e = two(spark)
-    assert ids(e.search({"query": fj("invalid", "index2", "id")}, "index1")) == []
-    assert ids(e.search({"query": fj("foreign_key", "index2", "invalid")}, "index1")) == []
-    assert ids(e.search({"query": {"bool": {"must_not": [fj("invalid", "index2", "id")]}}}, "index1")) == ["1", "2", "3", "4"]
+    assert ids(e.search({"query": fj("no_field", "authors", "id")}, "papers")) == []
+    assert ids(e.search({"query": fj("written_by", "authors", "no_field")}, "papers")) == []
+    assert len(ids(e.search({"query": {"bool": {"must_not": [fj("no_field", "authors", "id")]}}}, "papers"))) == len(PAPERS)
 
 
 def test_range_lookups(spark):
     e = two(spark, cache_enabled=True)
-    for lo, hi, want in ((0, 1, ["1", "4"]), (0, 0, []), (1, 1, ["1", "4"])):
-        r = e.search({"query": fj("foreign_key", "index2", "id", {"range": {"id": {"gte": lo, "lte": hi}}})}, "index1")
+    for lo, hi, want in ((22, 24, ["p10", "p13", "p14"]), (26, 98, []), (21, 21, ["p10"])):
+        r = e.search({"query": fj("written_by", "authors", "id", {"range": {"id": {"gte": lo, "lte": hi}}})}, "papers")
         assert ids(r) == want and r.actions[0]["cache_hit"] is False
     e.clear_cache()
 
 
 def test_nested_and_self(spark):
-    cat = Catalog(spark)
-    cat.register("index1", spark.createDataFrame(FK, "_id string, id int, foreign_key array<int>"), id_col="_id")
-    cat.register("index2", spark.createDataFrame([("1", 1, None, "aaa"), ("2", 2, None, "aaa"), ("3", 3, [2], "bbb"), ("4", 4, None, "ccc")], "_id string, id int, foreign_key array<int>, tag string"), id_col="_id")
-    cat.register("index3", spark.createDataFrame(TAGS, "_id string, id int, tag string"), id_col="_id")
-    e = Engine(cat, EngineConfig(cache_enabled=False))
-    q = {"bool": {"filter": [fj("foreign_key", "index2", "id", fj("foreign_key", "index3", "id", tag("aaa"))), {"term": {"id": 1}}]}}
-    r = e.search({"query": q}, "index1")
-    assert ids(r) == ["1"]
+    e = two(spark)
+    e.catalog.register("leaders", spark.createDataFrame([(21, [7]), (22, [8, 9]), (23, None), (24, [9])], "id int, leads array<int>"))
+    e.catalog.register("groups", spark.createDataFrame([(7, "bio"), (8, "law"), (9, "bio")], "gid int, topic string"), id_col="gid")
+    e.catalog["leaders"].id_col = "id"
+    q = {"bool": {"filter": [fj("written_by", "leaders", "id", fj("leads", "groups", "gid", {"term": {"topic": "bio"}})), {"range": {"id": {"lt": 14}}}]}}
+    r = e.search({"query": q}, "papers")
+    assert ids(r) == ["p10", "p13"]
     a, b = r.actions
-    assert (a["relations"]["from"]["field"], a["relations"]["to"]["field"], a["size"]) == ("id", "foreign_key", 2)
-    assert (b["relations"]["from"]["indices"], b["relations"]["to"]["indices"], b["size"]) == (["index2"], None, 1)
-    two_hops = fj("foreign_key", "index2", "id", fj("id", "index1", "foreign_key", {"term": {"id": 1}}))
-    assert ids(two(spark).search({"query": two_hops}, "index1")) == ["1", "4"]
+    assert (a["relations"]["from"]["field"], a["relations"]["to"]["field"], a["size"]) == ("gid", "leads", 2)
+    assert (b["relations"]["from"]["indices"], b["relations"]["to"]["indices"], b["size"]) == (["leaders"], None, 3)
+    two_hops = fj("written_by", "authors", "id", fj("id", "papers", "written_by", {"term": {"id": 14}}))
+    assert ids(e.search({"query": two_hops}, "papers")) == ["p10", "p14"]
 
 
 def test_types_and_many_indices(spark):
     cat = Catalog(spark)
-    rows = [("1", 1, [1, 3]), ("2", 2, [3]), ("3", 3, [4]), ("4", 4, [4, 6])]
-    cat.register("index1", spark.createDataFrame(rows, "_id string, id int, foreign_key array<int>"), id_col="_id")
-    typed = [("type2", 1, "aaa"), ("type2", 2, "bbb"), ("type3", 3, "ddd"), ("type3", 4, "aaa"), ("type4", 5, "ccc"), ("type4", 6, "aaa")]
-    cat.register("index2", spark.createDataFrame(typed, "_type string, id int, tag string"), type_col="_type")
+    cat.register("papers", spark.createDataFrame(PAPERS, "_id string, id int, written_by array<int>"), id_col="_id")
+    staff = [("writer", 21, "red"), ("writer", 22, "blue"), ("editor", 23, "red"), ("guest", 24, "red")]
+    cat.register("staff", spark.createDataFrame(staff, "role string, id int, team string"), type_col="role")
     e = Engine(cat, EngineConfig(cache_enabled=False))
-    assert ids(e.search({"query": fj("foreign_key", "index2", "id", tag("aaa"), types=["type2", "type4"])}, "index1")) == ["1", "4"]
-    cat.register("index3", spark.createDataFrame([(8, "aaa")], "id int, tag string"))
-    cat.register("index1", spark.createDataFrame([("1", 1, [8])], "_id string, id int, foreign_key array<int>"), id_col="_id")
-    assert ids(e.search({"query": fj("foreign_key", ["index2", "index3"], "id", tag("aaa"))}, "index1")) == ["1"]
-    assert ids(e.search({"query": fj("foreign_key", None, "id", tag("aaa"))}, "index1")) == ["1"]
+    assert ids(e.search({"query": fj("written_by", "staff", "id", team("red"), types=["editor"])}, "papers")) == ["p10", "p14"]
+    assert ids(e.search({"query": fj("written_by", "staff", "id", team("blue"), types=["writer", "guest"])}, "papers")) == ["p13"]
+    assert ids(e.search({"query": fj("written_by", "staff", "id", team("blue"), types=["guest"])}, "papers")) == []
+    cat.register("extern", spark.createDataFrame([(99, "red")], "id int, team string"))
+    assert ids(e.search({"query": fj("written_by", ["staff", "extern"], "id", team("red"))}, "papers")) == ["p10", "p14", "p15"]
+    assert ids(e.search({"query": fj("written_by", None, "id", team("red"))}, "papers")) == ["p10", "p14", "p15"]
 
 
 def test_score_order_pruning_and_metadata(spark):
-    cat = Catalog(spark)
-    cat.register("index1", spark.createDataFrame([("1", [1, 3]), ("2", None), ("3", [2]), ("4", [4])], "_id string, foreign_key array<int>"), id_col="_id")
-    cat.register("index2", spark.createDataFrame([("1", 1, "aaa"), ("2", 2, "aaa aaa bbb"), ("3", 3, "aaa"), ("4", 4, "aaa aaa bbb")], "_id string, id int, tag string"), id_col="_id", analyzed=["tag"])
-    e = Engine(cat)
-    q = {"query": fj("foreign_key", "index2", "id", tag("aaa"), orderBy="doc_score", maxTermsPerShard=1)}
-    r = e.search(q, "index1")
-    assert ids(r) == ["1"] and r.actions[0]["is_pruned"] and r.actions[0]["size"] == 1 and r.actions[0]["order_by"] == "doc_score"
-    again = e.search(q, "index1")
+    e = two(spark, cache_enabled=True)
+    bios = [(22, "tea tea milk"), (21, "tea"), (23, "milk"), (24, "tea and cake with more words")]
+    e.catalog.register("bios", spark.createDataFrame(bios, "id int, bio string"), id_col="id", analyzed=["bio"])
+    q = {"query": fj("written_by", "bios", "id", {"term": {"bio": "tea"}}, orderBy="doc_score", maxTermsPerShard=1)}
+    r = e.search(q, "papers")
+    assert ids(r) == ["p10"] and r.actions[0]["is_pruned"] and r.actions[0]["size"] == 1 and r.actions[0]["order_by"] == "doc_score"
+    again = e.search(q, "papers")
     assert again.actions[0]["cache_hit"] and again.actions[0]["is_pruned"]
-    m = two(spark).search({"query": fj("foreign_key", "index2", "id", tag("aaa"), maxTermsPerShard=42)}, "index1").actions[0]
-    assert (m["size"], m["is_pruned"], m["max_terms_per_shard"], m["size_in_bytes"]) == (2, False, 42, 25)
+    m = two(spark).search({"query": fj("written_by", "authors", "id", team("red"), maxTermsPerShard=42)}, "papers").actions[0]
+    assert (m["size"], m["is_pruned"], m["max_terms_per_shard"], m["size_in_bytes"]) == (3, False, 42, 33)
     e.clear_cache()
 
 
 def test_terms_by_query(spark):
     cat = Catalog(spark)
-    n = 300
-    cat.register("t", spark.range(n).selectExpr("id", "cast(id as string) str", "if(id % 2 = 0, 'aaa', 'aaa aaa bbb ccc') txt"), id_col="id", analyzed=["txt"], num_shards=3)
+    n = 260
+    cat.register("t", spark.range(n).selectExpr("id", "cast(id as string) str", "if(id % 4 = 1, 'rain', 'rain rain wind over the sea') txt"), id_col="id", analyzed=["txt"], num_shards=4)
     e = Engine(cat)
     assert e.terms_by_query("str").size == e.terms_by_query("id").size == n
-    limited = e.terms_by_query("id", max_terms_per_shard=50)
-    assert limited.size <= 150 and limited.is_pruned
-    assert all(r[0] % 2 == 0 for r in e.terms_by_query("id", {"term": {"txt": "aaa"}}, order_by="doc_score", max_terms_per_shard=5).df.collect())
+    limited = e.terms_by_query("id", max_terms_per_shard=30)
+    assert limited.size <= 120 and limited.is_pruned and not e.terms_by_query("id", max_terms_per_shard=n).is_pruned
+    top = e.terms_by_query("id", {"term": {"txt": "rain"}}, order_by="doc_score", max_terms_per_shard=5).df.collect()
+    assert {r[0] % 4 for r in top} == {0, 1, 2, 3} and sorted(r[0] for r in top if r[0] % 4 == 1) == [1, 5, 9, 13, 17]
     for bad in ({"encoding": "bytes"}, {"order_by": "doc_score"}, {"encoding": "nope"}):
         with pytest.raises(QueryError):
             e.terms_by_query("id", **bad)
@@ -148,9 +150,9 @@ def test_terms_by_query(spark):
 
 def test_literal_terms_and_validation(spark):
     cat = Catalog(spark)
-    cat.register("t", spark.createDataFrame([(1,), (3,), (7,)], "id int"), id_col="id")
+    cat.register("t", spark.createDataFrame([(2,), (5,), (40,)], "id int"), id_col="id")
     e = Engine(cat)
-    assert e.search({"query": Q.fielddata_terms("id", [1, 2, 4, 8, 10, 7, 6, 11, 5], 1)}, "t").total == 2
+    assert e.search({"query": Q.fielddata_terms("id", [0, 5, 9, 40, 41], 1)}, "t").total == 2
     assert e.search({"query": Q.termsenum_terms("id", list(range(3, 20_000)), 1)}, "t").total == 2
     for bad in ({"fielddata_terms": {"id": {"value": [1]}}}, {"fielddata_terms": {"id": {"_cache_key": 1}}}, {"fielddata_terms": {"id": {"value": [1], "_cache_key": 1, "x": 1}}}, {"fielddata_terms": {}}, {"nope": {}}, {"filterjoin": {"id": {}}}, {"filterjoin": {"id": {"path": "id", "odd": 1}}}):
         with pytest.raises(QueryError):
@@ -169,12 +171,12 @@ def test_kinds_must_agree(spark):
 
 def test_msearch_isolates_failures_and_shares_the_cache(spark):
     e = two(spark, cache_enabled=True)
-    good = {"query": fj("foreign_key", "index2", "id", tag("aaa"))}
-    a, bad, b = e.msearch([({"index": "index1"}, good), ({"index": "none"}, good), ({"index": "index1"}, good)])
-    assert isinstance(bad, SearchError) and ids(a) == ids(b) == ["1", "3", "4"]
+    good = {"query": fj("written_by", "authors", "id", team("red"))}
+    a, bad, b = e.msearch([({"index": "papers"}, good), ({"index": "none"}, good), ({"index": "papers"}, good)])
+    assert isinstance(bad, SearchError) and ids(a) == ids(b) == ["p10", "p14"]
     assert not a.actions[0]["cache_hit"] and b.actions[0]["cache_hit"]
-    nd = "\n".join([json.dumps({"index": "index1"}), json.dumps(good)]) + "\n"
-    assert ids(e.msearch_ndjson(nd)[0]) == ["1", "3", "4"]
+    nd = "\n".join([json.dumps({"index": "papers"}), json.dumps(good)]) + "\n"
+    assert ids(e.msearch_ndjson(nd)[0]) == ["p10", "p14"]
     assert e.cache_stats()["hit_count"] == 2
     e.clear_cache()
     assert e.cache_stats()["size"] == 0
@@ -182,40 +184,78 @@ def test_msearch_isolates_failures_and_shares_the_cache(spark):
 
 def test_writes_make_nested_entries_stale(spark):
     e = two(spark, cache_enabled=True)
-    q = {"query": {"bool": {"must_not": [fj("id", "index2", "id", fj("id", "index1", "id"))]}}}
-    assert ids(e.search(q, "index1")) == []
-    before = e.index_version("index1")
-    e.catalog.register("index1", spark.createDataFrame([("9", 9, [9])], "_id string, id int, foreign_key array<int>"), id_col="_id")
-    assert e.index_version("index1") != before
-    assert ids(e.search(q, "index1")) == ["9"]
+    for name in ("shelf", "copy"):
+        e.catalog.register(name, spark.createDataFrame([(f"s{i}", i) for i in (31, 32, 33)], "_id string, k int"), id_col="_id")
+    q = {"query": {"bool": {"must_not": [fj("k", "copy", "k", fj("k", "shelf", "k"))]}}}
+    assert ids(e.search(q, "shelf")) == []
+    before = e.index_version("shelf")
+    e.catalog.register("shelf", spark.createDataFrame([("s77", 77), ("s31", 31)], "_id string, k int"), id_col="_id")
+    assert e.index_version("shelf") != before
+    assert ids(e.search(q, "shelf")) == ["s77"]
     e.clear_cache()
 
 
 def test_cache_evicts_and_can_be_off(spark):
     e = two(spark, cache_enabled=True, cache_size=30)
-    for v in ("aaa", "bbb", "ccc"):
-        e.search({"query": fj("foreign_key", "index2", "id", tag(v))}, "index1")
+    for v in ("green", "blue", "nobody"):
+        e.search({"query": fj("written_by", "authors", "id", team(v))}, "papers")
     s = e.cache_stats()
     assert s["eviction_count"] >= 1 and s["size_in_bytes"] <= 30
+    e.search({"query": fj("written_by", "authors", "id", team("red"))}, "papers")
+    assert e.cache_stats()["size_in_bytes"] <= 30
     off = two(spark)
-    off.search({"query": fj("foreign_key", "index2", "id", tag("aaa"))}, "index1")
+    off.search({"query": fj("written_by", "authors", "id", team("red"))}, "papers")
     assert off.cache_stats()["request_count"] == 0
 
 
+def test_planning_starts_no_job(spark):
+    e = two(spark, cache_enabled=True)
+    sc = spark.sparkContext
+    sc.setJobGroup("planning", "none expected")
+    r = e.search({"query": {"bool": {"should": [fj("written_by", "authors", "id", team("red")), {"term": {"id": 12}}]}}, "sort": ["id"], "size": 5}, "papers")
+    again = e.search({"query": fj("written_by", "authors", "id", team("red"))}, "papers")
+    assert list(sc.statusTracker().getJobIdsForGroup("planning")) == []
+    assert ids(r) == ["p10", "p12", "p14"] and ids(again) == ["p10", "p14"]
+    assert len(sc.statusTracker().getJobIdsForGroup("planning")) > 0
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    e.clear_cache()
+
+
+def test_versions_of_files(spark, tmp_path):
+    cat = Catalog(spark)
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    cat.register_parquet("t", path)
+    before = cat.versions("t")
+    assert cat.versions("t") == before
+    spark.range(3).write.mode("append").parquet(path)
+    assert cat.versions("t") != before
+
+
+def test_other_file_formats(spark, tmp_path):
+    spark.createDataFrame([(21, "x"), (99, "y")], "id int, word string").write.json(str(tmp_path / "j"))
+    spark.createDataFrame([(22, "x"), (24, "y")], "id int, word string").write.option("header", True).csv(str(tmp_path / "c"))
+    e = two(spark)
+    e.catalog.register_json("j", str(tmp_path / "j"), schema="id int, word string", id_col="id")
+    e.catalog.register_csv("c", str(tmp_path / "c"), schema="id int, word string", id_col="id")
+    assert ids(e.search({"query": fj("written_by", "j", "id", {"term": {"word": "y"}})}, "papers")) == ["p15"]
+    assert ids(e.search({"query": fj("written_by", "c", "id")}, "papers")) == ["p13", "p14"]
+
+
 def test_alias_aggregations_sort(spark):
     e = two(spark)
     from pyspark.sql import functions as F
 
-    e.catalog.alias("only_a", "index2", F.col("tag") == "aaa")
-    assert e.terms_by_query("id", index="only_a").size == 2
-    r = e.search({"aggs": {"by": {"terms": {"field": "tag"}, "aggs": {"m": {"max": {"field": "id"}}}}, "n": {"filter": fj("id", "index1", "foreign_key"), "aggs": {"s": {"sum": {"field": "id"}}}}}}, "index2")
-    assert {(x["tag"], x["doc_count"], x["m"]) for x in r.aggs["by"].collect()} == {("aaa", 2, 2), ("bbb", 1, 3), ("ccc", 1, 4)}
-    assert [tuple(x) for x in r.aggs["n"].collect()] == [(4, 10)]
-    page = e.search({"sort": [{"id": "desc"}], "from": 1, "size": 2, "_source": ["id"]}, "index2").df.collect()
-    assert [x["id"] for x in page] == [3, 2]
-    scored = e.search({"query": fj("foreign_key", "index2", "id", tag("aaa"))}, "index1", score=True).df.collect()
+    e.catalog.alias("reds", "authors", F.col("team") == "red")
+    assert e.terms_by_query("id", index="reds").size == 3
+    r = e.search({"aggs": {"by": {"terms": {"field": "team"}, "aggs": {"m": {"max": {"field": "id"}}}}, "n": {"filter": fj("id", "papers", "written_by"), "aggs": {"s": {"sum": {"field": "id"}}}}}}, "authors")
+    assert {(x["team"], x["doc_count"], x["m"]) for x in r.aggs["by"].collect()} == {("red", 3, 25), ("blue", 1, 22), ("green", 1, 24)}
+    assert [tuple(x) for x in r.aggs["n"].collect()] == [(4, 90)]
+    page = e.search({"sort": [{"id": "desc"}], "from": 1, "size": 2, "_source": ["id"]}, "authors").df.collect()
+    assert [x["id"] for x in page] == [24, 23]
+    scored = e.search({"query": fj("written_by", "authors", "id", team("red"))}, "papers", score=True).df.collect()
     assert {x["_score"] for x in scored} == {1.0}
-    assert e.exists({"query": tag("aaa")}, "index2") and not e.exists({"query": tag("zzz")}, "index2")
+    assert e.exists({"query": team("blue")}, "authors") and not e.exists({"query": team("nobody")}, "authors")
 
 
 def test_bloom(spark):
@@ -225,18 +265,20 @@ def test_bloom(spark):
     false = sum(b.might_contain(i) for i in range(10_000, 20_000))
     assert false < 500
     other = Bloom.of(spark.range(10_000, 10_010), "id", 100_000)
+    assert abs(b.estimate() - 10_000) < 300
     assert b.merge(other).might_contain(10_005)
+    assert Bloom.empty(spark, 10).estimate() == 0
 
 
 def test_stream_against_static(spark, tmp_path):
     from semifold.streaming import stream_semi
 
-    spark.createDataFrame([(1,), (2,), (3,)], "id int").write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(21,), (22,), (25,)], "id int").write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("id int").parquet(str(tmp_path / "in"))
-    out = stream_semi(two(spark), s, fj("id", "index2", "id", tag("aaa")))
+    out = stream_semi(two(spark), s, fj("id", "authors", "id", team("red")))
     q = out.writeStream.format("memory").queryName("semi_out").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
-    assert sorted(r[0] for r in spark.table("semi_out").collect()) == [1, 2]
+    assert sorted(r[0] for r in spark.table("semi_out").collect()) == [21, 25]
 
 
 key_sets = st.lists(st.one_of(st.none(), st.lists(st.integers(0, 5), max_size=3)), min_size=1, max_size=6)
