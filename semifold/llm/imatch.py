@@ -18,7 +18,9 @@ Texts are shuffled once, by bucket; fingerprints keep that partitioning.
 Defined cases: null text is empty; a null id orders last; rows of one id are
 ordered by text; equal texts have equal fingerprints; a text without lexicon
 terms is fingerprinted by all of its terms, one without terms is "empty"; a
-table of one row is its own neighbour; an empty table gives no rows.
+table of one row is its own neighbour; a text of any length is taken whole; of
+columns that are named like the added one, that one stays, others are kept or
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -68,7 +70,7 @@ def _at_depth(arr: Column, family: int, depth: Column) -> Column:
 
 def signatures(arr: Column, whole: Column, df: DataFrame, name: str) -> DataFrame:
     """Adds ``name``: the hash of the whole term list, then one of each family's sparsest subset that is not empty."""
-    short = lambda c: F.substring(F.lower(F.lpad(F.hex(c), 16, "0")), 1, 8)
+    short = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     first = F.when(F.size(arr) > 0, short(F.xxhash64(arr))).when(whole.isNull(), F.lit("empty")).otherwise(F.concat(F.lit("~"), short(whole)))
     # The depth is a column of its own: inside the filter it would be computed again for each term.
     depth = {f: f"__{name}_{f}" for f in range(FAMILIES)}
@@ -91,12 +93,12 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, lex: DataFrame | None = None) -> DataFrame:
     """All columns and ``fingerprint``, for tables that need no neighbours."""
     lex = lex if lex is not None else lexicon(docs)
-    cols = docs.columns
-    rows = docs.withColumn("__t", terms(text_of(docs))).withColumn("__rid", F.monotonically_increasing_id())
+    cols = [c for c in docs.columns if c != "fingerprint"]
+    rows = docs.select(*[F.col(f"`{c}`") for c in cols], *([] if "text" in cols else [F.lit("").alias("text")])).withColumn("__t", terms(text_of(docs))).withColumn("__rid", F.monotonically_increasing_id())
     rows = materialize(rows.withColumn("__whole", F.when(F.size("__t") > 0, F.xxhash64(F.array_sort("__t")))), "imatch-rows")
     got = rows.select("__rid", F.explode("__t").alias("h")).join(lex, "h").groupBy(F.col("__rid").alias("__r")).agg(F.array_sort(F.collect_list("h")).alias("__a"))
     out = rows.join(got, F.col("__rid") == F.col("__r"), "left").withColumn("__a", F.coalesce("__a", F.array().cast("array<bigint>")))
-    return signatures(F.col("__a"), F.col("__whole"), out, "__fp").select(*cols, F.array_join("__fp", "-").alias("fingerprint"))
+    return signatures(F.col("__a"), F.col("__whole"), out, "__fp").select(*[F.col(f"`{c}`") for c in cols], F.array_join("__fp", "-").alias("fingerprint"))
 
 
 def _bucketed(docs: DataFrame) -> DataFrame:

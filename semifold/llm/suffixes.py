@@ -18,11 +18,13 @@ very many distinct surroundings is instead dealt out passage by passage.
 
 Decisions return to the documents without moving texts: they are written per
 scan partition, and each task of the second and third scan reads its own part
-from the shared folder, checked against a hash of every text concerned.
+from the shared folder.  A task that finds another text than the one decided on
+(by a prefix hash, then by a hash of the text), or misses one, fails the job.
 
 Defined cases: null text is empty; texts under 200 bytes keep everything;
 repeats overlap freely and inside one text; repeated rows count as separate
-documents; an empty table gives no rows.
+documents; columns other than doc_id and text are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -174,11 +176,15 @@ def _own_part(path: str) -> dict[int, tuple]:
     return dict(zip(t["rid"], zip(*(t[c] for c in cols), strict=True), strict=True))
 
 
-def _check(data: np.ndarray, want: int) -> None:
-    if _text_hash(data) != want:
+def _same(yes: bool) -> None:
+    if not yes:
         raise RuntimeError("the documents were read in another order than before; write them to a table first")
 
 
+def _check(data: np.ndarray, want: int) -> None:
+    _same(_text_hash(data) == want)
+
+
 def _text_hash(data: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
@@ -271,11 +277,12 @@ def repeated(docs: DataFrame, batches: int = BATCHES, hot: int = HOT) -> DataFra
     for i in range(batches):
         got = family.add(suffixes.filter(F.pmod(F.xxhash64("rid"), F.lit(batches)) == i).select("h"))
         found = got if found is None else found.unionByName(got)
-    hits = suffixes.join(found.distinct(), "h", "left_semi").groupBy("rid").agg(F.collect_list("pos").alias("pos"))
+    hits = suffixes.join(found.distinct(), "h", "left_semi").groupBy("rid").agg(F.collect_list("pos").alias("pos"), F.min_by("pos", "pos").alias("first"), F.min_by("h", "pos").alias("h"))
     side = _aligned(hits, "suffix-hits")
 
     def surround(bs: Iterator) -> Iterator:
         mine = _own_part(side)
+        met = 0
         for b in bs:
             out: dict[str, list] = {k: [] for k in ("rid", "th", "pos", "ch", "h", "ctx")}
             for r, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -283,7 +290,10 @@ def repeated(docs: DataFrame, batches: int = BATCHES, hot: int = HOT) -> DataFra
                     continue
                 data = _data(t)
                 th = _text_hash(data)
-                for p in mine[r][0]:
+                positions, first, want = mine[r]
+                met += 1
+                _same(first + GRAM <= len(data) and int(rolling(data[first : first + GRAM], GRAM).view(np.int64)[0]) == want)
+                for p in positions:
                     c = _around(data, p)
                     out["rid"].append(r)
                     out["th"].append(th)
@@ -294,6 +304,7 @@ def repeated(docs: DataFrame, batches: int = BATCHES, hot: int = HOT) -> DataFra
             out["h"] = [hashlib.blake2b(x, digest_size=8).digest() for x in out["h"]]
             kinds = {"rid": pa.int64(), "th": pa.int64(), "pos": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()], list(out))
+        _same(met == len(mine))
 
     around = materialize(rows.mapInArrow(surround, "rid bigint, th bigint, pos bigint, ch binary, h binary, ctx binary"), "suffix-around")
     distinct = around.groupBy("h", "ch", "ctx").agg(F.count("*").alias("n"))
@@ -336,6 +347,7 @@ def remove(docs: DataFrame) -> DataFrame:
 
     def apply(bs: Iterator) -> Iterator:
         mine = _own_part(side)
+        met = 0
         for b in bs:
             out = []
             for r, d, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -343,6 +355,7 @@ def remove(docs: DataFrame) -> DataFrame:
                 kept, removed, runs = data.tobytes(), 0, 0
                 if r in mine:
                     th, spans = mine[r]
+                    met += 1
                     _check(data, th)
                     edge = np.zeros(len(data) + 1, np.int32)
                     np.add.at(edge, spans[0::2], 1)
@@ -352,6 +365,7 @@ def remove(docs: DataFrame) -> DataFrame:
                     kept = data[~gone].tobytes()
                 out.append((d, len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+        _same(met == len(mine))
 
     return _with_rid(docs).mapInArrow(apply, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 

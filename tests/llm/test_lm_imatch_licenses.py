@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from semifold.llm import imatch, licenses, lm
 from tests.oracle import SF
@@ -97,23 +98,80 @@ def test_extra_columns_of_the_model(spark):
     assert lm.score(df).first()["n_tokens"] == 4
 
 
+def x64(data, seed=42):
+    return xxhash.xxh64_intdigest(data, seed & (1 << 64) - 1)
+
+
+def chain(longs, seed=42):
+    for x in longs:
+        seed = x64((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+    return seed
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute_fingerprints(rows):
+    """All of the contract's columns, row by row in plain Python."""
+    text = {i: t or "" for i, (_, t) in enumerate(rows)}
+    order = sorted(text, key=lambda i: (rows[i][0] is None, -(rows[i][0] or 0), -signed(x64(text[i].encode()))))
+    terms = lambda t: {signed(x64(w.encode())) for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w}
+    df = Counter(h for t in text.values() for h in terms(t))
+    n = len(rows)
+    lex = {h for h, c in df.items() if max(2, math.ceil(imatch.LOW * n)) <= c <= max(2, math.floor(imatch.HIGH * n))}
+
+    def depth(h, family):
+        g = chain([h])
+        g = x64(family.to_bytes(4, "little"), g) & (1 << imatch.DEEPEST) - 1 | 1 << imatch.DEEPEST
+        return g & -g
+
+    def signature(t):
+        every = sorted(terms(t))
+        arr = [h for h in every if h in lex]
+        if not arr:
+            return ["~" + format(chain(every), "016x") if every else "empty"] + [""] * imatch.FAMILIES
+        out = [format(chain(arr), "016x")]
+        for f in range(imatch.FAMILIES):
+            top = max(depth(h, f) for h in arr)
+            out.append(format(chain([top, *[h for h in arr if depth(h, f) == top]]), "016x"))
+        return out
+
+    def likeness(a, b):
+        return 1.0 if a[0] == b[0] else sum(x == y != "" for x, y in zip(a[1:], b[1:], strict=True)) / imatch.FAMILIES
+
+    out = []
+    for at, i in enumerate(order):
+        t, k = text[i], len(text[i]) // 3
+        other = text[order[(at + 1) % n]]
+        edited = t[: len(t) - k] + other[:k]
+        a, b, c = signature(t), signature(edited), signature(other)
+        out.append((rows[i][0], len(t), hashlib.sha256(edited.encode()).hexdigest(), "-".join(a), "-".join(b), likeness(a, b), likeness(a, c)))
+    return sorted(out, key=repr)
+
+
 def test_fingerprints(spark):
-    rows = ROWS + [(100, "alone")]
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    got = imatch.digest(frame(spark, rows)).collect()
-    assert len(got) == len(rows)
-    texts = {d: t or "" for d, t in rows}
-    nxt = {order[i][0]: order[(i + 1) % len(order)] for i in range(len(order))}
-    for r in got:
-        t = texts[r["doc_id"]]
-        k = len(t) // 3
-        assert r["n_chars"] == len(t)
-        ok = {hashlib.sha256((t[: len(t) - k] + (x or "")[:k]).encode()).hexdigest() for x in (nxt[r["doc_id"]][1], t)}
-        assert r["edited_sha256"] in ok and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    assert len({r["fingerprint"] for r in got if r["doc_id"] == 5}) == 1
+    """Two rows of one id are ordered by their texts' hashes; ids may be null; one row is its own neighbour."""
+    rows = [*ROWS, (100, "alone"), (101, "é" * 9), (102, "the  cat\tand\x0bdog " * 3000)]
+    rows += [(500 + i, r["text"]) for i, r in enumerate(spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(300).collect())]
+    df = frame(spark, rows)
+    got = sorted((tuple(r) for r in imatch.digest(df).collect()), key=repr)
+    assert got == brute_fingerprints(rows)
+    assert sorted((tuple(r) for r in imatch.digest(df.repartition(9)).collect()), key=repr) == got
+    near = [r[5] for r in got if r[1] > 300]
+    assert sum(near) / len(near) > 0.25 and sum(r[6] for r in got if r[1] > 300) / len(near) < 0.05
+    assert [tuple(r) for r in imatch.digest(frame(spark, [(1, "abcdef")])).collect()] == brute_fingerprints([(1, "abcdef")])
     assert imatch.digest(frame(spark).limit(0)).count() == 0
 
 
+def test_fingerprints_beside_other_columns(spark):
+    df = frame(spark, ROWS).selectExpr("*", "'old' as fingerprint", "1 as h")
+    got = imatch.fingerprints(df)
+    assert got.columns == [c for c in df.columns if c != "fingerprint"] + ["fingerprint"]
+    want = {(d, t): f for d, t, f in ((r[0], r[1], r[3]) for r in brute_fingerprints(ROWS))}
+    assert sorted(repr((r["doc_id"], len(r["text"] or ""), r["fingerprint"])) for r in got.collect()) == sorted(repr((d, n, f)) for (d, n), f in want.items() for _ in range(sum(x == d and len(t or "") == n for x, t in ROWS)))
+
+
 def test_licences_are_found_and_inherited(spark):
     files = [(0, "a/LICENSE", "Released under the MIT License."), (1, "a/b/x.py", "no word of it"), (2, "a/b/y.py", "code\nLicensed under the Apache License, Version 2.0.\nmore code follows here and there, and then some more of it"), (3, "c/z", "plain"), (4, None, None), (5, "a/b/c/d", ""), (6, "c/e", "the license of a poem")]
     df = spark.createDataFrame(files, "rid bigint, path string, text string")
