@@ -46,6 +46,8 @@ PIECE = 1 << 20
 BATCHES = 4
 #: Distinct surroundings of one prefix from which its passages are dealt out.
 HOT = 4096
+#: Repeated prefixes (8 bytes each) up to which they are broadcast.
+BROADCAST_PREFIXES = 1_000_000
 _POS = (1 << 21) - 1
 _B = 0x9E3779B97F4A7C15 | 1
 
@@ -273,12 +275,19 @@ def repeated(docs: DataFrame, batches: int = BATCHES, hot: int = HOT) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (rid, pos, key)], ["rid", "pos", "h"])
 
     suffixes = materialize(rows.mapInArrow(index, "rid bigint, pos bigint, h bigint"), "suffixes")
-    family, found = SuffixIndex(spark), None
+    family, found, found_in = SuffixIndex(spark), None, []
     for i in range(batches):
         got = family.add(suffixes.filter(F.pmod(F.xxhash64("rid"), F.lit(batches)) == i).select("h"))
+        found_in.append(got)
         found = got if found is None else found.unionByName(got)
-    hits = suffixes.join(found.distinct(), "h", "left_semi").groupBy("rid").agg(F.collect_list("pos").alias("pos"), F.min_by("pos", "pos").alias("first"), F.min_by("h", "pos").alias("h"))
+    known = materialize(found.distinct(), "suffix-known")
+    # A prefix may have any share of the suffixes: they stay where they are if its like are few enough to broadcast.
+    few = F.broadcast(known) if known.count() <= BROADCAST_PREFIXES else known
+    hits = suffixes.join(few, "h", "left_semi").groupBy("rid").agg(F.collect_list("pos").alias("pos"), F.min_by("pos", "pos").alias("first"), F.min_by("h", "pos").alias("h"))
     side = _aligned(hits, "suffix-hits")
+    # From here on the texts and the side tables are all that is read.
+    for table in (suffixes, known, *found_in, *(level for _, level in family.levels)):
+        _remove(spark, table)
 
     def surround(bs: Iterator) -> Iterator:
         mine = _own_part(side)
