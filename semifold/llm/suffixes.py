@@ -42,7 +42,9 @@ PASSAGE = 200
 GRAM = 100
 WINDOW = PASSAGE - GRAM + 1
 #: Bytes of a text handled at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: Surroundings that a task holds before it passes them on.
+HELD = 4096
 BATCHES = 4
 #: Distinct surroundings of one prefix from which its passages are dealt out.
 HOT = 4096
@@ -283,7 +285,7 @@ def repeated(docs: DataFrame, batches: int = BATCHES, hot: int = HOT) -> DataFra
     known = materialize(found.distinct(), "suffix-known")
     # A prefix may have any share of the suffixes: they stay where they are if its like are few enough to broadcast.
     few = F.broadcast(known) if known.count() <= BROADCAST_PREFIXES else known
-    hits = suffixes.join(few, "h", "left_semi").groupBy("rid").agg(F.collect_list("pos").alias("pos"), F.min_by("pos", "pos").alias("first"), F.min_by("h", "pos").alias("h"))
+    hits = suffixes.join(few, "h", "left_semi").groupBy("rid").agg(F.collect_list("pos").alias("pos"), F.bit_xor("h").alias("x"))
     side = _aligned(hits, "suffix-hits")
     # From here on the texts and the side tables are all that is read.
     for table in (suffixes, known, *found_in, *(level for _, level in family.levels)):
@@ -291,28 +293,39 @@ def repeated(docs: DataFrame, batches: int = BATCHES, hot: int = HOT) -> DataFra
 
     def surround(bs: Iterator) -> Iterator:
         mine = _own_part(side)
+        kinds = {"rid": pa.int64(), "th": pa.int64(), "pos": pa.int64()}
+        names = ("rid", "th", "pos", "ch", "h", "ctx")
+        out: dict[str, list] = {k: [] for k in names}
         met = 0
+
+        def made():
+            batch = pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()], list(out))
+            for v in out.values():
+                v.clear()
+            return batch
+
         for b in bs:
-            out: dict[str, list] = {k: [] for k in ("rid", "th", "pos", "ch", "h", "ctx")}
             for r, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if r not in mine:
                     continue
                 data = _data(t)
                 th = _text_hash(data)
-                positions, first, want = mine[r]
+                positions, want = mine[r]
                 met += 1
-                _same(first + GRAM <= len(data) and int(rolling(data[first : first + GRAM], GRAM).view(np.int64)[0]) == want)
+                _same(max(positions) + GRAM <= len(data))
+                prefixes = np.concatenate([data[p : p + GRAM] for p in positions])
+                _same(int(np.bitwise_xor.reduce(rolling(prefixes, GRAM)[::GRAM]).view(np.int64)) == want)
                 for p in positions:
                     c = _around(data, p)
                     out["rid"].append(r)
                     out["th"].append(th)
                     out["pos"].append(p)
                     out["ch"].append(hashlib.blake2b(c, digest_size=16).digest())
-                    out["h"].append(c[WINDOW - 1 : WINDOW - 1 + GRAM])
+                    out["h"].append(hashlib.blake2b(c[WINDOW - 1 : WINDOW - 1 + GRAM], digest_size=8).digest())
                     out["ctx"].append(c)
-            out["h"] = [hashlib.blake2b(x, digest_size=8).digest() for x in out["h"]]
-            kinds = {"rid": pa.int64(), "th": pa.int64(), "pos": pa.int64()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()], list(out))
+                if len(out["rid"]) >= HELD:
+                    yield made()
+        yield made()
         _same(met == len(mine))
 
     around = materialize(rows.mapInArrow(surround, "rid bigint, th bigint, pos bigint, ch binary, h binary, ctx binary"), "suffix-around")
