@@ -354,21 +354,33 @@ def _forest(fp: np.ndarray, th: np.ndarray, root: np.ndarray) -> np.ndarray:
 
 #: Up to this many texts of pairs, their hashes (8 bytes each) are broadcast, so that no other text is shuffled.
 BROADCAST_ENDS = 1_000_000
+#: Longs of a text's parity.
+PARITY_WORDS = 4
+
+
+def parity(s: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
+    """For each of 64 * words buckets, whether an odd number of the hashes fall in it.
+
+    Two sets' parities differ in no more bits than there are hashes in just one of them.
+    """
+    at = np.bincount((s >> np.uint64(8)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
+    return np.packbits(at.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def shingle_sets(docs: DataFrame, ends: DataFrame, width: int) -> DataFrame:
-    """th, s: the shingle sets of those texts whose hashes are in ends (th, distinct)."""
+    """th, s, p: the shingle sets of those texts whose hashes are in ends (th, distinct), and their parities."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             for th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([th], pa.int64()), pa.array([shingle_set(text, width).view(np.int64)], pa.list_(pa.int64()))], ["th", "s"])
+                s = shingle_set(text, width)
+                yield pa.RecordBatch.from_arrays([pa.array([th], pa.int64()), pa.array([s.view(np.int64)], pa.list_(pa.int64())), pa.array([parity(s)], pa.list_(pa.int64()))], ["th", "s", "p"])
 
     if ends.count() <= BROADCAST_ENDS:
         ends = F.broadcast(ends)
     texts = docs.select(F.xxhash64(text_of(docs)).alias("th"), text_of(docs).alias("text")).join(ends, "th", "left_semi")
-    return materialize(texts.mapInArrow(run, "th bigint, s array<bigint>").dropDuplicates(["th"]), "simhash-sets")
+    return materialize(texts.mapInArrow(run, "th bigint, s array<bigint>, p array<bigint>").dropDuplicates(["th"]), "simhash-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -410,8 +422,9 @@ def missing_pairs(may: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     Prefix filter in the order (shingles by the number of their texts, hash),
     where shingles of one root count as of one text: sets of the similarity share
     one of their prefixes; at the first that they share, sizes and positions
-    leave room for the overlap.  Texts of the root that is largest at a shingle
-    are not matched with each other.
+    leave room for the overlap, and the parities of the whole sets differ in no
+    more bits than similar sets may differ in shingles.  Texts of the root that
+    is largest at a shingle are not matched with each other.
     """
     rows = sets.withColumn("token", F.explode(F.when(F.size("s") > 0, F.col("s")).otherwise(F.array(F.lit(0).cast("long"))))).select("th", "token")
     met = _across(rows.join(may.select("th", "root"), "th")).join(may.select("th", "n"), "th")
@@ -419,13 +432,16 @@ def missing_pairs(may: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     ranked = met.withColumns({"rank": F.row_number().over(w.orderBy("df", "token")), "m": F.count("*").over(w)})
     ranked = ranked.withColumn("pos", F.greatest(F.col("n"), F.lit(1)) - F.col("m") + F.col("rank") - 1)
     left = materialize(ranked.filter(F.col("pos") < prefix_size(F.col("n"), similarity)).select("token", "th", "n", "pos", "root"), "simhash-prefixes")
+    marks = sets.select("th", *[F.col("p")[i].alias(f"p{i}_") for i in range(PARITY_WORDS)])
     sizes = left.groupBy("token", "root").agg(F.count("*").alias("m"))
     big = sizes.groupBy("token").agg(F.max(F.struct("m", "root"))["root"].alias("big"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
-    sides = materialize(left.join(big, "token"), "simhash-sides")
-    x, y = (sides.select("token", "big", *[F.col(c).alias(f"{c}{i}") for c in ("th", "n", "pos", "root")]) for i in (1, 2))
+    sides = materialize(left.join(big, "token").join(marks, "th"), "simhash-sides")
+    x, y = (sides.select("token", "big", *[F.col(c).alias(f"{c}{i}") for c in ("th", "n", "pos", "root", *[f"p{j}_" for j in range(PARITY_WORDS)])]) for i in (1, 2))
     x = x.filter("root1 != big").drop("big")
     need = similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-6
     fits = (F.least("n1", "n2") >= similarity * F.greatest("n1", "n2") - 1e-6) & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need)
+    differ = sum((F.bit_count(F.col(f"p{j}_1").bitwiseXOR(F.col(f"p{j}_2"))) for j in range(PARITY_WORDS)), F.lit(0))
+    fits = fits & (differ <= F.col("n1") + F.col("n2") - 2 * need)
     once = ((F.col("root2") == F.col("big")) & (F.col("root1") != F.col("big"))) | ((F.col("root2") != F.col("big")) & (F.col("root1") < F.col("root2")))
     return x.join(y, (x["token"] == y["token"]) & fits & once).select(F.least("th1", "th2").alias("a"), F.greatest("th1", "th2").alias("b")).distinct()
 

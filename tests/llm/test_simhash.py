@@ -175,6 +175,15 @@ def test_odd_tables(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_parities_never_differ_in_more_bits_than_sets_in_hashes():
+    rnd = np.random.default_rng(5)
+    for n, own in ((0, 0), (0, 3), (30, 1), (30, 6), (400, 40), (3000, 500)):
+        both, a, b = (np.unique(rnd.integers(0, 2**64, k, np.uint64)) for k in (n, own, own))
+        p, q = (simhash.parity(np.unique(np.concatenate((both, x)))) for x in (a, b))
+        assert len(p) == simhash.PARITY_WORDS and int(simhash._bits(p ^ q).sum()) <= len(a) + len(b)
+    assert simhash.parity(np.empty(0, np.uint64)).tolist() == [0] * simhash.PARITY_WORDS
+
+
 def test_no_link_is_lost(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     rnd = random.Random(8)
