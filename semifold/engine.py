@@ -23,6 +23,8 @@ BODY_KEYS = {"query", "post_filter", "_source", "fields", "sort", "from", "size"
 class EngineConfig:
     cache_enabled: bool = True
     cache_size: int = DEFAULT_CAPACITY
+    #: A search fails, when it runs, if the key set of one of its joins has more distinct terms.
+    max_join_terms: int | None = None
 
 
 @dataclass
@@ -66,7 +68,7 @@ class Engine:
         self.cache = TermsCache(self.config.cache_size if self.config.cache_enabled else 0)
 
     def _compiler(self) -> Compiler:
-        return Compiler(self.catalog, self.cache if self.cache.capacity > 0 else None)
+        return Compiler(self.catalog, self.cache if self.cache.capacity > 0 else None, self.config.max_join_terms)
 
     # ---- search ---------------------------------------------------------
 
@@ -117,7 +119,7 @@ class Engine:
         return df
 
     def _agg(self, comp: Compiler, idx: IndexDef, df: DataFrame, name: str, spec: dict) -> DataFrame:
-        """terms, filter and single-value metrics; terms and filter may hold metrics and filters below them."""
+        """terms, filter, filters and single-value metrics; the first three may hold metrics and filters below them."""
         subs = spec.get("aggs") or spec.get("aggregations") or {}
         if "terms" in spec:
             key = spec["terms"]["field"]
@@ -136,6 +138,20 @@ class Engine:
                 df, c = self._metric(comp, idx, df, s)
                 outs.append(c.alias(sub))
             return df.agg(*outs)
+        if "filters" in spec:
+            named = spec["filters"]["filters"]
+            tests = []
+            for bucket, q in named.items():
+                df, p = comp.predicate(idx, df, q)
+                tests.append(F.when(F.coalesce(p, F.lit(False)), F.lit(bucket)))
+            outs = [F.count("*").alias("doc_count")]
+            for sub, s in subs.items():
+                df, c = self._metric(comp, idx, df, s)
+                outs.append(c.alias(sub))
+            out = df.withColumn("bucket", F.explode(F.array_compact(F.array(*tests)))).groupBy("bucket").agg(*outs)
+            # Buckets without documents are listed too; there are as many as the request names.
+            buckets = df.sparkSession.createDataFrame([(b,) for b in named], "bucket string")
+            return buckets.join(out, "bucket", "left").fillna(0, ["doc_count"])
         df, c = self._metric(comp, idx, df, spec)
         return df.agg(c.alias(name))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +56,12 @@ class TermsResult:
             raise TermsLimitExceeded(f"Data too large: more than {max_terms} terms")
         return self
 
+    def capped(self, max_terms: int) -> TermsResult:
+        """The same terms; reading them fails if there are more.  Lazy, and counts no further than one beyond the bound."""
+        over = self.df.distinct().limit(max_terms + 1).agg(F.count("*") > max_terms).scalar()
+        fail = F.raise_error(F.lit(f"Data too large: more than {max_terms} terms")).cast("boolean")
+        return replace(self, df=self.df.filter(F.when(over, fail).otherwise(F.lit(True))))
+
 
 def validate(encoding: str, limit: int | None, order_by: str | None) -> None:
     if encoding not in ENCODINGS:

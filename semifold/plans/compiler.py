@@ -46,6 +46,7 @@ class Action:
 class Compiler:
     catalog: Catalog
     cache: object = None
+    max_terms: int | None = None
     actions: list[Action] = field(default_factory=list)
 
     # ---- key sets -------------------------------------------------------
@@ -62,6 +63,8 @@ class Compiler:
             check_kinds(indices[0].types[fj.path], i.types[fj.path])
         parts = [(i, self.filter(i, i.typed(fj.types), fj.query, fj), self.score(i, fj.query) if fj.order_by == "doc_score" else F.lit(1.0)) for i in indices]
         made, hit = terms_by_query(parts, fj.path, encoding=fj.encoding, limit=fj.limit, order_by=fj.order_by), False
+        if self.max_terms is not None:
+            made = made.capped(self.max_terms)
         if self.cache is not None:
             made, hit = self.cache.get_or_add(fj, self.catalog, made)
         self.actions.append(Action(fj, parent, names, made, hit))

@@ -283,6 +283,13 @@ def bloom_sketch(spark, d):
     return spark.createDataFrame([(all(b.might_contain(k) for k in inside), false <= 2 * DEFAULT_FPP, abs(b.estimate() - n) <= 0.05 * n)], "none_missed boolean, few_false boolean, estimate_near boolean")
 
 
+def filters_agg(spark, d):
+    """Joins as the tests of named buckets, with a metric in each."""
+    buckets = {"building": BUILDING, "urgent": _term("o_orderpriority", "1-URGENT"), "none": _term("o_orderstatus", "X")}
+    body = {"aggs": {"b": {"filters": {"filters": buckets}, "aggs": {"top": {"max": {"field": "o_totalprice"}}}}}}
+    return engine(spark, d, "orders", "customer").search(body, index="orders").aggs["b"]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fj_basic": _search(["orders", "customer"], "orders", {"query": BUILDING, "_source": ["o_orderkey", "o_custkey", "o_totalprice"]}),
     "fj_reverse": _search(["orders", "customer"], "customer", {"query": fj("c_custkey", "orders", "o_custkey", _range("o_totalprice", gt=400000)), "_source": ["c_custkey", "c_name"]}),
@@ -338,6 +345,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_builders": builders,
     "search_aggs": metric_aggs,
     "bloom_sketch": bloom_sketch,
+    "fj_in_filters_agg": filters_agg,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -394,5 +402,6 @@ ORACLE_SQL: dict[str, str] = {
     "search_template": "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'FURNITURE')",
     "search_builders": "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
     "search_aggs": "SELECT c_mktsegment, count(*) AS doc_count, max(c_acctbal) AS top, min(c_acctbal) AS low, count(c_custkey) AS many FROM customer GROUP BY 1",
+    "fj_in_filters_agg": "SELECT 'building' AS bucket, count(*) AS doc_count, max(o_totalprice) AS top FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') UNION ALL SELECT 'urgent', count(*), max(o_totalprice) FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'none', count(*), max(o_totalprice) FROM orders WHERE o_orderstatus = 'X'",
     "bloom_sketch": "SELECT true AS none_missed, true AS few_false, true AS estimate_near",
 }

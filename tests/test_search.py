@@ -295,3 +295,12 @@ def test_array_joins_equal_brute_force(spark, left, right):
     hit = sorted(str(i) for i, v in enumerate(left) if terms & set(v or ()))
     assert ids(e.search({"query": fj("k", "r", "k")}, "l")) == hit
     assert ids(e.search({"query": {"bool": {"must_not": [fj("k", "r", "k")]}}}, "l")) == sorted({str(i) for i in range(len(left))} - set(hit))
+
+
+def test_a_join_fails_when_it_runs_if_its_keys_are_too_many(spark):
+    q = {"query": fj("written_by", "authors", "id", team("red"))}
+    assert ids(two(spark, max_join_terms=3).search(q, "papers")) == ["p10", "p14"]
+    for cache in (True, False):
+        r = two(spark, cache_enabled=cache, max_join_terms=2).search(q, "papers")
+        with pytest.raises(Exception, match="Data too large"):
+            r.df.collect()
