@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import SALTS, materialize, text_of
 
 SHINGLE, BITS_APART, BLOCKS, SEED = 3, 2, 6, 42
 #: Above this many fingerprints, a cell is linked by stars.
@@ -231,8 +231,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 #: Similar texts: five-word shingles, Jaccard similarity of their sets.
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
-#: Hash families (64 bits each), grid cells of each text in each round, and 8-bit segments that a cell keeps.
-LANES, ROUNDS, KEPT = 4, (2, 6, 16), 3
+#: Hash families (64 bits each), grid cells of each text in each round, and two-bit segments whose counts a cell keeps.
+LANES, ROUNDS, KEPT = 4, (8, 16), 16
+#: Bits of the first family in which the texts of a cell may differ; what differs in more is left to the prefix filter.
+WIDE_APART = 24
 #: Fingerprints of a cell between which one spanning forest is taken.
 SPAN = 1024
 #: Shingles whose hash has this many leading zeros are counted for every text: a quarter, more than a prefix has.
@@ -266,17 +268,44 @@ def text_nodes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
 
 
 def _tables() -> list[list[int]]:
-    """For each cell: the segments, of all families, whose bits it keeps; fixed by a seed."""
+    """For each cell: the segments, of all families, whose counts it keeps; fixed by a seed."""
     draw = random.Random(SEED)
-    return [draw.sample(range(8 * LANES), KEPT) for _ in range(sum(ROUNDS))]
+    return [draw.sample(range(32 * LANES), KEPT) for _ in range(sum(ROUNDS))]
+
+
+def unary(fp: np.ndarray) -> np.ndarray:
+    """All 32 segment counts at once, each in unary in its two bits: the bits apart of two are their Manhattan distance."""
+    x, m = fp.view(np.uint64), np.uint64(0x5555555555555555)
+    low, high = x & m, x >> np.uint64(1) & m
+    return (low & high) << np.uint64(1) | low | high
+
+
+def grid_pairs(nodes: DataFrame) -> DataFrame:
+    """nodes: th, fp.  Returns a, b (a < b): pairs to verify, of texts that op9's grid links.
+
+    Each fingerprint goes with one of those linked to it, chosen by a hash so
+    that no text is in most pairs; each text with one of its own fingerprint, in
+    SALTS stars whose centres make another.
+    """
+    rows = nodes.select("th", "fp", F.pmod(F.xxhash64("th"), F.lit(SALTS)).alias("salt"))
+    hubs = materialize(rows.groupBy("fp", "salt").agg(F.min("th").alias("hub")), "simhash-hubs")
+    reps = hubs.groupBy("fp").agg(F.min("hub").alias("rep"))
+    near = links(reps.select("fp"))
+    both = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hook = both.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("h"), F.col("b"))).alias("m")).select("a", "m.b")
+    x, y = (reps.select(F.col("fp").alias(c), F.col("rep").alias(f"r{c}")) for c in "ab")
+    pairs = [hook.join(x, "a").join(y, "b").select("ra", "rb"), hubs.join(reps, "fp").select("rep", "hub"), rows.join(hubs, ["fp", "salt"]).select("hub", "th")]
+    return pairs[0].union(pairs[1]).union(pairs[2]).toDF("x", "y").filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def wide_candidates(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
     """nodes: th, root, fp, l1 ...  Returns a, b (a < b): pairs to verify, of different roots.
 
-    Texts whose kept segments have equal bits (so equal bit counts) meet in a
-    cell.  Of each SPAN of a cell come the edges of the minimum spanning forest
-    between roots under the bits apart, so never more than its fingerprints.
+    Texts whose kept segments have equal bit counts meet in a cell of the grid
+    over those coordinates.  Of each SPAN of a cell come the edges of the minimum
+    spanning forest between roots under the bits apart, of at most WIDE_APART,
+    with the Manhattan distance of all counts as a lower bound; so never more
+    than its fingerprints.
     """
     import pyarrow as pa
 
@@ -289,8 +318,8 @@ def wide_candidates(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
             lanes = np.column_stack(lanes)
             for i in range(0, len(lanes), STEP // many):
                 fps = np.ascontiguousarray(lanes[i : i + STEP // many])
-                bits = fps.view(np.uint8)[:, kept].astype(np.int64)
-                cell = (np.arange(many) << 8 * KEPT) + (bits << 8 * np.arange(KEPT)).sum(axis=2)
+                counts = (unary(fps)[:, :, None] >> np.arange(0, 64, 2, dtype=np.uint64) & np.uint64(3)).astype(np.int64).reshape(len(fps), -1)
+                cell = (np.arange(many) << 2 * KEPT) + (counts[:, kept] << 2 * np.arange(KEPT)).sum(axis=2)
                 each = [np.repeat(x[i : i + STEP // many], many) for x in (lanes[:, 0], th, root)]
                 yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), *map(pa.array, each)], ["cell", "fp", "th", "root"])
 
@@ -322,33 +351,39 @@ def _forests(cell: np.ndarray, fp: np.ndarray, th: np.ndarray, root: np.ndarray)
     size = np.diff(np.append(first, len(cell)))
     two = first[size == 2]
     two = two[root[two] != root[two + 1]]
+    two = two[_bits(unary(fp[two]) ^ unary(fp[two + 1])) <= WIDE_APART]
+    two = two[_bits(fp[two] ^ fp[two + 1]) <= WIDE_APART]
     out = [np.column_stack((th[two], th[two + 1]))]
     for i, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
         for j in range(i, i + n - 1, SPAN - 1):
             k = slice(j, min(j + SPAN, i + n))
             if (root[k] != root[j]).any():
-                out.append(_forest(fp[k], th[k], root[k]))
+                out.append(_forest(fp[k], th[k], root[k], WIDE_APART))
     return np.concatenate(out)
 
 
-def _forest(fp: np.ndarray, th: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Prim's algorithm; rows of one root lie together from the start."""
+def _forest(fp: np.ndarray, th: np.ndarray, root: np.ndarray, apart: int = 64) -> np.ndarray:
+    """Prim's algorithm; rows of one root lie together from the start, and no edge is longer than ``apart``."""
     fp, th, root, edges = fp.copy(), th.copy(), root.copy(), []
-    x, xt, xr, rest = fp[0], th[0], root[0], len(fp) - 1
-    fp, th, root = fp[1:], th[1:], root[1:]
+    u = unary(fp)
+    x, xu, xt, xr, rest = fp[0], u[0], th[0], root[0], len(fp) - 1
+    fp, u, th, root = fp[1:], u[1:], th[1:], root[1:]
     near, by = np.full(rest, 127, np.int16), np.zeros(rest, np.int64)
     while rest:
-        d = np.where(root == xr, -1, _bits(fp ^ x).astype(np.int16))
+        d = _bits(u ^ xu).astype(np.int16)
+        close = d <= apart
+        d[close] = _bits(fp[close] ^ x)
+        d[root == xr] = -1
         closer = d < near
         near[closer], by[closer] = d[closer], xt
         k = int(near.argmin())
-        x, xt, xr = fp[k], th[k], root[k]
-        if near[k] >= 0:
+        x, xu, xt, xr = fp[k], u[k], th[k], root[k]
+        if 0 <= near[k] <= apart:
             edges.append((xt, by[k]))
         rest -= 1
-        for c in (fp, th, root, near, by):
+        for c in (fp, u, th, root, near, by):
             c[k] = c[rest]
-        fp, th, root, near, by = (c[:rest] for c in (fp, th, root, near, by))
+        fp, u, th, root, near, by = (c[:rest] for c in (fp, u, th, root, near, by))
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
@@ -449,9 +484,10 @@ def missing_pairs(may: DataFrame, sets: DataFrame, similarity: float) -> DataFra
 def text_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """node, root for each distinct text (by hash): root is one for those joined by chains of similar pairs.
 
-    Candidates come from rounds of SimHash cells, each verified on the shingle
-    sets of whole texts; what is joined in one round is one group in the next,
-    so large groups yield few pairs.  The cells are drawn at random; then a
+    Candidates come from op9's grid on the first family's fingerprints, then from
+    rounds of wider cells over the segment counts of all families, each verified
+    on the shingle sets of whole texts; what is joined in one round is one group
+    in the next, so large groups yield few pairs.  Wide cells are drawn at random; then a
     prefix filter gives every similar pair that still lies in two groups,
     verified likewise, so no link is lost.  Most texts drop out of it by a
     quarter of their shingles, and only the others' are all counted.  Copies are
@@ -469,7 +505,8 @@ def text_groups(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float =
         moved = joined.select(F.col("node").alias("was"), F.col("root").alias("now"))
         return materialize(cc.join(moved, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root")), "simhash-roots")
 
-    done = 0
+    pairs = materialize(grid_pairs(nodes), "simhash-pairs")
+    cc, done = join_up(pairs, shingle_sets(docs, ends_of(pairs), width), cc), 0
     for many in ROUNDS:
         pairs = materialize(wide_candidates(nodes.drop("first", "n").join(cc, nodes["th"] == cc["node"]), _tables()[done : done + many]), "simhash-pairs")
         cc = join_up(pairs, shingle_sets(docs, ends_of(pairs), width), cc)

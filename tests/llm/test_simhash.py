@@ -203,3 +203,63 @@ def test_no_link_is_lost(spark, monkeypatch):
     monkeypatch.setattr(simhash, "ZEROS", 4)
     root = {r["text"] or "": r["root"] for r in simhash.similar_groups(docs).join(docs, "doc_id").collect()}
     assert pairs and [(i, j) for i, j in pairs if root[texts[i]] != root[texts[j]]] == []
+
+
+def test_wide_cells_are_a_grid_over_segment_counts(spark):
+    # Equal counts in all segments, but in no byte equal bits: one of two bits here, the other there.
+    rnd = random.Random(6)
+    two = [sum(2 << 2 * rnd.randrange(4 * b, 4 * b + 4) for b in range(8)) for _ in range(simhash.LANES)]
+    one = [x >> 1 for x in two]
+    far = [simhash._signed(x ^ (1 << 64) - 1) for x in one]
+    cols = "th bigint, root bigint, fp bigint, " + ", ".join(f"l{i} bigint" for i in range(1, simhash.LANES))
+    nodes = spark.createDataFrame([(1, 1, *one), (2, 2, *[simhash._signed(x) for x in two]), (3, 3, *far)], cols)
+    assert [tuple(r) for r in simhash.wide_candidates(nodes, simhash._tables()).collect()] == [(1, 2)]
+
+
+def test_distance_of_counts_is_a_lower_bound_of_the_bits():
+    rnd = np.random.default_rng(7)
+    x, y = (rnd.integers(-(2**63), 2**63 - 1, 200) for _ in range(2))
+    y[:100] = x[:100] ^ (1 << rnd.integers(0, 62, 100))
+    count = lambda f, s: (int(f) >> 2 * s & 1) + (int(f) >> 2 * s + 1 & 1)
+    apart = [sum(abs(count(a, s) - count(b, s)) for s in range(32)) for a, b in zip(x, y, strict=True)]
+    got = simhash._bits(simhash.unary(x) ^ simhash.unary(y))
+    assert got.tolist() == apart and (got <= simhash._bits(x ^ y)).all()
+
+
+def test_pairs_of_a_cell_are_near_in_counts_and_bits():
+    n = 50
+    fp = np.array([0, 1, -1, -2] + [0] * (n - 4))
+    cell = np.array([1] * 4 + [2, 2] + [3] * (n - 6))
+    fp[4], fp[5] = 5, ~5
+    ids = np.arange(n)
+    edges = {tuple(sorted(e)) for e in simhash._forests(cell, fp, ids, ids).tolist()}
+    assert {e for e in edges if e[1] < 6} == {(0, 1), (2, 3)} and len(edges) == 2 + (n - 6) - 1
+    # Far in bits, though equal in all counts.
+    a = np.array([0x1111111111111111 * 5, 0x1111111111111111 * 10 - (1 << 64)], np.int64)
+    assert simhash._bits(simhash.unary(a[:1]) ^ simhash.unary(a[1:]))[0] == 0
+    assert len(simhash._forests(np.zeros(2), a, ids[:2], ids[:2])) == 0 == len(simhash._forest(a, ids[:2], ids[:2], 24))
+
+
+def test_the_stage_goes_through_op9s_grid(spark, monkeypatch):
+    """Alone it joins the similar texts whose fingerprints it links, and none that are not similar."""
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(3000)]
+    texts = [" ".join(base), " ".join([*base[:-1], "tail"]), " ".join(["head", *base[1:]]), " ".join(f"v{rnd.randrange(10**6)}" for _ in range(300)), "", " ", "\n"]
+    fps = [simhash.majority(simhash.shingle_set(t, 5), 1)[0] if t.split() else 0 for t in texts]
+    assert (fps[0] ^ fps[1]).bit_count() <= 2 and (fps[0] ^ fps[2]).bit_count() <= 2
+    none = lambda nodes, *_: nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
+    monkeypatch.setattr(simhash, "wide_candidates", none)
+    monkeypatch.setattr(simhash, "missing_pairs", none)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [0, 3, 4]
+    # Texts of one fingerprint that are not similar stay apart.
+    monkeypatch.setattr(simhash, "majority", lambda s, lanes: [0] * lanes)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs.filter("doc_id in (0, 3, 4)")).collect()) == [0, 3, 4]
+
+
+def test_grid_pairs_of_many_texts_have_no_centre(spark):
+    nodes = spark.range(3000).selectExpr("id as th", "if(id < 2000, 0, 1) as fp").union(spark.createDataFrame([(9000, 255), (9001, -1)], "th bigint, fp bigint"))
+    pairs = [tuple(r) for r in simhash.grid_pairs(nodes).collect()]
+    root = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert len(root) == 3000 and set(root.values()) == {0} and len(pairs) <= 3000
+    assert max(np.unique(np.array(pairs).ravel(), return_counts=True)[1]) < 300
